@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterline import vocab
-from rosterline.functions.text import collapse_ws, empty_to_null, let
+from rosterline.functions.text import collapse_ws, empty_to_null, let, lookup
 
 
 def rule_pattern(phrases: list[str]) -> str:
@@ -22,12 +22,11 @@ def crm_category(position: Column) -> Column:
 
 
 def _category(text: Column) -> Column:
-    out = F.when(text == "", vocab.DEFAULT_CATEGORY)
-    for category, variants in vocab.CATEGORY_VARIANTS.items():
-        out = out.when(text.isin(variants), category)
+    exact = {v: category for category, variants in vocab.CATEGORY_VARIANTS.items() for v in variants}
+    by_rule = F.when(text == "", vocab.DEFAULT_CATEGORY)
     for category, phrases in vocab.CATEGORY_RULES:
-        out = out.when(text.rlike(rule_pattern(phrases)), category)
-    return out.otherwise(vocab.DEFAULT_CATEGORY)
+        by_rule = by_rule.when(text.rlike(rule_pattern(phrases)), category)
+    return F.coalesce(lookup(text, exact), by_rule.otherwise(vocab.DEFAULT_CATEGORY))
 
 
 def ui_category(normalized: Column, raw: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterline import vocab
 from rosterline.functions.names import name_quick_valid
-from rosterline.functions.text import collapse_ws, empty_to_null, let
+from rosterline.functions.text import collapse_ws, empty_to_null, let, one_of
 from rosterline.functions.urls import url_host
 
 # fixed values: what counts as an email, a phone, a tax number, a full name
@@ -124,23 +124,23 @@ def mailbox(email: Column) -> Column:
 
 def company_email(emails: Column, site_url: Column) -> Column:
     """First generic mailbox on the site's own domain, else any generic one."""
-    generic = F.filter(emails, lambda e: mailbox(e).isin(vocab.GENERIC_PREFIXES))
+    generic = F.filter(emails, lambda e: one_of(mailbox(e), vocab.GENERIC_PREFIXES))
     domain = F.regexp_replace(url_host(site_url), r"^www\.", "")
 
-    def best(found: Column) -> Column:
-        own = F.filter(found, lambda e: (F.length(domain) > 0) & F.contains(F.lower(e), domain))
+    def best(found: Column, host: Column) -> Column:
+        own = F.filter(found, lambda e: (F.length(host) > 0) & F.contains(F.lower(e), host))
         return F.lower(F.coalesce(F.get(own, F.lit(0)), F.get(found, F.lit(0))))
 
-    return let(generic, best)
+    return let(generic, best, domain)
 
 
 def position_near_name(text: Column, name: Column, reach: int = 200) -> Column:
     """A title within `reach` characters around the first place of the name."""
-    def window(at: Column) -> Column:
+    def window(at: Column, whole: Column, width: Column) -> Column:
         start = F.greatest(at - reach, F.lit(1))
-        return F.when(at > 0, F.substr(text, start, at + F.length(name) + reach - start))
+        return F.when(at > 0, F.substr(whole, start, at + width + reach - start))
 
-    return let(let(F.instr(text, name), window), _title_in)
+    return let(let(F.instr(text, name), window, text, F.length(name)), _title_in)
 
 
 def _title_in(around: Column) -> Column:
@@ -157,4 +157,4 @@ def extract_names_latin(text: Column) -> Column:
     found = F.regexp_extract_all(
         text, F.lit(r"(?U)\b[A-Z][a-z]{1,20}\s+[A-Z][a-z]{1,20}(?:\s+[A-Z][a-z]{1,20})?\b"), F.lit(0)
     )
-    return F.array_except(F.array_distinct(found), F.array(*[F.lit(s) for s in vocab.LATIN_NAME_STOP]))
+    return F.array_except(F.array_distinct(found), F.split(F.lit(",".join(vocab.LATIN_NAME_STOP)), ","))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterline import vocab
 from rosterline.functions.entities import mailbox
-from rosterline.functions.text import alternation, collapse_ws, empty_to_null, let, strip_ws
+from rosterline.functions.text import alternation, collapse_ws, empty_to_null, let, one_of, strip_ws
 
 
 def phone_e164(raw: Column) -> Column:
@@ -17,7 +17,7 @@ def phone_e164(raw: Column) -> Column:
     full = let(F.regexp_replace(raw, r"[^\d+]", ""), _with_country)
     plausible = r"^\+7[34789]\d{9}$|^\+(?!7)[1-9]\d{7,14}$"
     rest = strip_ws(F.regexp_replace(raw, r"(?U)[^\d+\-()\s]", ""))
-    return let(full, lambda f: F.when(f.rlike(plausible), f).otherwise(empty_to_null(rest)))
+    return let(full, lambda f, r: F.when(f.rlike(plausible), f).otherwise(empty_to_null(r)), rest)
 
 
 def _with_country(kept: Column) -> Column:
@@ -62,22 +62,21 @@ def is_generic_email(email: Column) -> Column:
     """A company mailbox.  Separators inside the prefix do not count, which
     covers the exact match as well."""
     bare = F.translate(mailbox(email), "-._", "")
-    generic = bare.isin(_bare_prefixes(vocab.GENERIC_PREFIXES))
+    generic = one_of(bare, _bare_prefixes(vocab.GENERIC_PREFIXES))
     return F.coalesce((email != "") & generic, F.lit(False))
 
 
 def is_generic_email_final(email: Column) -> Column:
     """Wider list, plus short prefixes and department markers."""
-    return let(mailbox(email), lambda box: _generic_box(email, box))
+    return F.coalesce((email != "") & let(mailbox(email), _generic_box), F.lit(False))
 
 
-def _generic_box(email: Column, box: Column) -> Column:
-    generic = (
-        F.translate(box, "-._", "").isin(_bare_prefixes(vocab.GENERIC_PREFIXES_FINAL))
+def _generic_box(box: Column) -> Column:
+    return (
+        one_of(F.translate(box, "-._", ""), _bare_prefixes(vocab.GENERIC_PREFIXES_FINAL))
         | (F.length(box) <= 3)
         | box.rlike(alternation(vocab.DEPARTMENT_MARKERS))
     )
-    return F.coalesce((email != "") & generic, F.lit(False))
 
 
 def relocate_generic_email(personal: Column, company: Column, generic: Column) -> tuple[Column, Column]:

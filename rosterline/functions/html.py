@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterline import vocab
-from rosterline.functions.text import alternation, let, strip_ws
+from rosterline.functions.text import alternation, let, one_of, strip_ws
 from rosterline.functions.urls import is_static_asset, normalize_url, resolve_url, same_domain, url_host
 
 # fixed values: elements whose content is no text, and named entities
@@ -97,7 +97,7 @@ def company_name_from_page(html: Column) -> Column:
             F.transform(F.split(text, rf"\Q{separator}\E"), strip_ws), lambda p: F.length(p) > 0
         )
         last = F.try_element_at(parts, F.lit(-1))
-        good = (F.size(parts) >= 2) & (F.length(last) > 3) & ~F.lower(last).isin(vocab.GARBAGE_TITLE_PARTS)
+        good = (F.size(parts) >= 2) & (F.length(last) > 3) & ~one_of(F.lower(last), vocab.GARBAGE_TITLE_PARTS)
         return F.when(text.contains(separator) & good, last)
 
     from_title = let(title, lambda t: F.coalesce(*[last_part(t, s) for s in vocab.TITLE_SEPARATORS]))
@@ -110,7 +110,10 @@ def page_links(html: Column, page_url: Column) -> Column:
     Kept as an array on the page row, so finding links needs no shuffle.  Each
     step names its result as a struct field: inside a lambda nothing is shared.
     """
-    base = normalize_url(page_url)
+    return let(normalize_url(page_url), _links_of, html)
+
+
+def _links_of(base: Column, html: Column) -> Column:
     host = url_host(base)
     anchors = F.regexp_extract_all(
         html, F.lit(r"(?is)<a\s[^>]*>(?:.*?(?=</a>|<a\s)|.*)"), F.lit(0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterline import vocab
 from rosterline.functions.text import (
-    alternation, collapse_ws, contains_any, has_word, let, strip_ws, word_count,
+    alternation, collapse_ws, contains_any, has_word, let, one_of, strip_ws, word_count,
 )
 
 _EDGE = ".,;:-"
@@ -90,7 +90,7 @@ def _blocked(lowered: Column) -> Column:
     genitive = lowered.rlike(
         rf"(?U)(?<!\S){edge}(?:{alternation(vocab.GENITIVE_SURNAMES)}){edge}$"
     )
-    return _yes(lowered.isin(vocab.BLOCKED_NAMES) | genitive)
+    return _yes(one_of(lowered, vocab.BLOCKED_NAMES) | genitive)
 
 
 def name_collapse_ws(name: Column) -> Column:
@@ -102,18 +102,18 @@ def split_fio(full_name: Column) -> Column:
 
     Hyphenated surnames split at the hyphen and initials count as words.
     """
-    def parts(tokens: Column) -> Column:
+    def parts(tokens: Column, whole: Column) -> Column:
         def token(i: int) -> Column:
             return F.coalesce(F.get(tokens, F.lit(i)), F.lit(""))
 
-        family = F.when(F.size(tokens) > 0, token(0)).otherwise(strip_ws(full_name))
+        family = F.when(F.size(tokens) > 0, token(0)).otherwise(strip_ws(whole))
         return F.struct(
             F.coalesce(family, F.lit("")).alias("family"),
             token(1).alias("name"),
             token(2).alias("patronymic"),
         )
 
-    return let(F.regexp_extract_all(full_name, F.lit(r"[А-ЯЁA-Z][а-яёa-z]*\.?"), F.lit(0)), parts)
+    return let(F.regexp_extract_all(full_name, F.lit(r"[А-ЯЁA-Z][а-яёa-z]*\.?"), F.lit(0)), parts, full_name)
 
 
 def detect_gender(fio: Column) -> Column:
@@ -136,7 +136,7 @@ def gender_ending(gender: Column) -> Column:
 
 def family_dative(family: Column, gender: Column) -> Column:
     """Surname in the dative case by its ending."""
-    return let(F.regexp_replace(family, r"\.+$", ""), lambda f: _dative(f, gender))
+    return let(F.regexp_replace(family, r"\.+$", ""), _dative, gender)
 
 
 def _dative(f: Column, gender: Column) -> Column:

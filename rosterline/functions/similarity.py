@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterline import vocab
-from rosterline.functions.text import let, strip_ws
+from rosterline.functions.text import lookup as text_lookup
+from rosterline.functions.text import strip_ws
 
 # executors need not have this package: its functions travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,11 +133,7 @@ def position_exact(position: Column) -> Column:
     first: dict[str, str] = {}
     for variant, canonical in position_dictionary().items():
         first.setdefault(variant.lower(), canonical)
-    variants = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
-    return let(
-        F.lower(strip_ws(position)),
-        lambda lowered: F.when(lowered.isin(list(first)), F.try_element_at(variants, lowered)),
-    )
+    return text_lookup(F.lower(strip_ws(position)), first)
 
 
 def normalize_position(position: Column) -> Column:

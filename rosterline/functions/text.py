@@ -10,14 +10,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it many times in `body`.
+def let(value: Column, body: Callable[..., Column], *more: Column) -> Column:
+    """Evaluate `value` (and `more`) once and use them many times in `body`.
 
     Columns are trees: a value named in Python is repeated at every use, which
     multiplies regular expressions and can push generated code over the size
     limit of a method.
+
+    A body must get every column it needs as an argument.  A column captured
+    from outside is resolved late, and then an output column of the same
+    projection with the same name wins over the input column.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    if not more:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate((value, *more))])
+    unpacked = lambda s: body(*[s[f"v{i}"] for i in range(len(more) + 1)])
+    return F.get(F.transform(F.array(packed), unpacked), F.lit(0))
+
+
+def one_of(c: Column, words: Iterable[str]) -> Column:
+    """Membership in a fixed list without commas; one literal, compiled code."""
+    return F.find_in_set(c, F.lit(",".join(words))) > 0
+
+
+def lookup(c: Column, mapping: dict[str, str]) -> Column:
+    """Value of a fixed mapping (keys without commas), null for other text."""
+    place = F.find_in_set(c, F.lit(",".join(mapping)))
+    values = F.split(F.lit("\n".join(mapping.values())), "\n")
+    return let(place, lambda i: F.when(i > 0, F.try_element_at(values, i)))
 
 
 def strip_ws(c: Column) -> Column:
@@ -86,9 +106,9 @@ def role_comment(c: Column) -> Column:
 
 def set_is_subset(words: Column, allowed: Iterable[str]) -> Column:
     """Word array is not empty and lies inside a fixed set."""
-    allowed_array = F.array(*[F.lit(w) for w in allowed])
+    allowed_array = F.split(F.lit(",".join(allowed)), ",")
     return (F.size(words) > 0) & (F.size(F.array_except(words, allowed_array)) == 0)
 
 
 def sets_overlap(words: Column, other: Iterable[str]) -> Column:
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in other]))
+    return F.arrays_overlap(words, F.split(F.lit(",".join(other)), ","))

@@ -13,8 +13,9 @@ from rosterline.functions.names import name_valid_strict
 from rosterline.functions.person_blocks import person_blocks
 from rosterline.functions.positions import position_quick_valid, position_valid_strict
 from rosterline.functions.similarity import normalize_position, position_matches_targets
-from rosterline.functions.text import empty_to_null, strip_ws
+from rosterline.functions.text import empty_to_null, let, strip_ws
 from rosterline.operators.dedup import dedup_name_company
+from rosterline.operators.skew import exploded
 
 MAX_TEXT_NAMES = 20  # fixed value: names paired by place on pages without blocks
 
@@ -80,23 +81,24 @@ def block_candidates(blocks: Column) -> Column:
 def text_candidates(text: Column, fios: Column, emails: Column, phones: Column, social: Column) -> Column:
     """Array of contacts of a page without blocks: the i-th name goes with the
     i-th email and the i-th phone."""
-    return F.transform(
-        F.slice(fios, 1, MAX_TEXT_NAMES),
-        lambda fio, i: F.struct(
-            fio.alias("full_name"),
-            E.position_near_name(text, fio).alias("position_raw"),
-            F.get(emails, i).alias("personal_email"),
-            F.get(phones, i).alias("phone_raw"),
-            social.alias("social_links"),
-        ),
-    )
+    def paired(first: Column, text_: Column, emails_: Column, phones_: Column, social_: Column) -> Column:
+        return F.transform(
+            first,
+            lambda fio, i: F.struct(
+                fio.alias("full_name"),
+                E.position_near_name(text_, fio).alias("position_raw"),
+                F.get(emails_, i).alias("personal_email"),
+                F.get(phones_, i).alias("phone_raw"),
+                social_.alias("social_links"),
+            ),
+        )
+
+    return let(F.slice(fios, 1, MAX_TEXT_NAMES), paired, text, emails, phones, social)
 
 
 def _contact_rows(found: DataFrame, candidates: Column) -> DataFrame:
-    rows = found.select(
-        "site_url", "page_ord", "page_url", "lang", "company_name", "inn", "kpp", "company_email",
-        F.posexplode(candidates).alias("contact_ord", "c"),
-    )
+    page = ["site_url", "page_ord", "page_url", "lang", "company_name", "inn", "kpp", "company_email"]
+    rows = exploded(found, page, candidates, "contact_ord", "c")
     return rows.select(
         "page_ord", F.col("contact_ord").cast("long").alias("contact_ord"),
         F.coalesce("company_name", F.lit("")).alias("company_name"),
@@ -129,9 +131,13 @@ def contacts_from_text(pages: DataFrame) -> DataFrame:
 
 def _valid_first_names(candidates: Column) -> Column:
     """Candidates with a valid name, the first of equal names on the page."""
-    valid = F.filter(candidates, lambda c: name_valid_strict(c.full_name))
-    names = F.transform(valid, lambda c: F.lower(strip_ws(c.full_name)))
-    return F.filter(valid, lambda c, i: F.array_position(names, F.lower(strip_ws(c.full_name))) == i + 1)
+    def firsts(valid: Column, names: Column) -> Column:
+        return F.filter(valid, lambda c, i: F.array_position(names, F.get(names, i)) == i + 1)
+
+    def with_names(valid: Column) -> Column:
+        return let(valid, firsts, F.transform(valid, lambda c: F.lower(strip_ws(c.full_name))))
+
+    return let(F.filter(candidates, lambda c: name_valid_strict(c.full_name)), with_names)
 
 
 def match_targets(contacts: DataFrame, targets: list[str]) -> DataFrame:
@@ -140,16 +146,21 @@ def match_targets(contacts: DataFrame, targets: list[str]) -> DataFrame:
     return contacts.filter(hit)
 
 
-def validate_strict(contacts: DataFrame) -> DataFrame:
-    """Per-page checks: name, position, mailbox kind, identifiers."""
+def validate_strict(contacts: DataFrame, normalize: bool = True) -> DataFrame:
+    """Per-page checks: name, position, mailbox kind, identifiers.
+
+    normalize=False is for rows that already carry a normalised position
+    wherever they have a raw one."""
     raw = position_valid_strict(F.col("position_raw"))
     personal, company = relocate_generic_email(
         F.col("personal_email"), F.col("company_email"), is_generic_email(F.col("personal_email"))
     )
     given = empty_to_null(F.col("position_normalized"))
+    if normalize:
+        given = F.coalesce(given, normalize_position(F.when(given.isNull(), raw)))
     return contacts.filter(name_valid_strict(F.col("full_name"))).withColumns({
         "position_raw": raw,
-        "position_normalized": F.when(raw.isNotNull(), F.coalesce(given, normalize_position(F.when(given.isNull(), raw)))),
+        "position_normalized": F.when(raw.isNotNull(), given),
         "personal_email": personal,
         "company_email": company,
         "inn": strict_inn(F.col("inn")),
@@ -167,9 +178,9 @@ def extract_contacts(pages: DataFrame, targets: list[str] | None = None) -> Data
     found = _with_candidates(pages)
     if not targets:
         chosen = F.when(F.size("from_blocks") > 0, F.col("from_blocks")).otherwise(F.col("from_text"))
-        return validate_strict(_contact_rows(found, _valid_first_names(chosen)))
+        return validate_strict(_contact_rows(found, _valid_first_names(chosen)), normalize=False)
     page = ["site_url", "page_ord"]
     by_blocks = match_targets(_contact_rows(found, F.col("from_blocks")), targets)
     by_text = match_targets(_contact_rows(found, F.col("from_text")), targets)
     rest = by_text.join(by_blocks.select(*page).distinct(), page, "left_anti")
-    return dedup_name_company(validate_strict(by_blocks.unionByName(rest.select(by_blocks.columns))))
+    return dedup_name_company(validate_strict(by_blocks.unionByName(rest.select(by_blocks.columns)), normalize=False))

@@ -7,7 +7,7 @@ from rosterline import vocab
 from rosterline.functions.html import contact_links, has_captcha, page_links
 from rosterline.functions.text import strip_ws
 from rosterline.functions.urls import normalize_url, url_host, url_path
-from rosterline.operators.skew import first_by, spread_join
+from rosterline.operators.skew import exploded, first_by, spread_join
 from rosterline.session import cut_lineage
 
 
@@ -35,16 +35,15 @@ def dedup_pages(pages: DataFrame) -> DataFrame:
 
 def explode_links(pages: DataFrame) -> DataFrame:
     """All internal links of all pages, one row each."""
-    links = pages.select(
-        "site_url", "page_ord", F.explode(page_links(F.col("html"), F.col("page_url"))).alias("l")
-    )
+    found = page_links(F.col("html"), F.col("page_url"))
+    links = exploded(pages, ["site_url", "page_ord"], found, "_place", "l")
     return links.select("site_url", "page_ord", "l.*")
 
 
 def rank_contact_links(pages: DataFrame) -> DataFrame:
     """Distinct relevant links of each page, shortest URL first."""
     urls = contact_links(page_links(F.col("html"), F.col("page_url")))
-    ranked = pages.select("site_url", "page_ord", F.posexplode(urls).alias("link_rank", "url"))
+    ranked = exploded(pages, ["site_url", "page_ord"], urls, "link_rank", "url")
     return ranked.withColumn("link_rank", F.col("link_rank").cast("long"))
 
 

@@ -4,6 +4,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exploded(df: DataFrame, keep: list[str], array: Column, place: str, value: str) -> DataFrame:
+    """One row per element of a computed array, with its place.
+
+    A plain explode makes the optimizer add `size(array) > 0` below itself,
+    which evaluates the array expression a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, value))
+    return rows.filter(F.col(place).isNotNull())
+
+
 def first_by(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """The first row of every key.
 
