@@ -148,7 +148,7 @@ def _item(side: str, tag: str) -> str:
 
 
 def _line(side: str) -> str:
-    return f"'<p>' || position_{side} || ' ' || name_{side} || ', ' || email_{side} || ', ' || phone_{side} || '</p>'"
+    return f"'<p>' || position_{side} || ', ' || name_{side} || ', ' || email_{side} || ', ' || phone_{side} || '</p>'"
 
 
 _FOOT = "'<footer>ИНН: ' || inn || ', КПП: ' || kpp || ' info@site' || CAST(site_idx AS STRING) || '.example.ru</footer></body></html>'"
