@@ -112,21 +112,27 @@ def _contact_rows(found: DataFrame, candidates: Column) -> DataFrame:
     )
 
 
-def _with_candidates(pages: DataFrame) -> DataFrame:
+def _with_blocks(pages: DataFrame) -> DataFrame:
     found = extract_page_entities(pages).withColumn("blocks", person_blocks(F.col("html")))
-    return found.withColumn("from_blocks", block_candidates(F.col("blocks"))).withColumn(
-        "from_text",
-        text_candidates(*[F.col(c) for c in ("text", "fios", "emails", "phones", "social_links")]),
+    return found.withColumn("from_blocks", block_candidates(F.col("blocks")))
+
+
+def _from_text() -> Column:
+    """Candidates of the plain text, written out in full so that a page with
+    blocks, for which it is not evaluated, skips the search for names as well."""
+    text, html = F.col("text"), F.col("html")
+    return text_candidates(
+        text, E.extract_fio_all(text), F.col("emails"), E.extract_phones(text), E.extract_social_links(html)
     )
 
 
 def contacts_from_blocks(pages: DataFrame) -> DataFrame:
-    return _contact_rows(_with_candidates(pages), F.col("from_blocks"))
+    return _contact_rows(_with_blocks(pages), F.col("from_blocks"))
 
 
 def contacts_from_text(pages: DataFrame) -> DataFrame:
     """The text reading of every page, whether or not it has blocks."""
-    return _contact_rows(_with_candidates(pages), F.col("from_text"))
+    return _contact_rows(extract_page_entities(pages), _from_text())
 
 
 def _valid_first_names(candidates: Column) -> Column:
@@ -175,12 +181,12 @@ def extract_contacts(pages: DataFrame, targets: list[str] | None = None) -> Data
     made inside the page row.  With targets the choice depends on the positions
     that match, so it needs one anti join on the page key.
     """
-    found = _with_candidates(pages)
+    found = _with_blocks(pages)
     if not targets:
-        chosen = F.when(F.size("from_blocks") > 0, F.col("from_blocks")).otherwise(F.col("from_text"))
+        chosen = F.when(F.size("from_blocks") > 0, F.col("from_blocks")).otherwise(_from_text())
         return validate_strict(_contact_rows(found, _valid_first_names(chosen)), normalize=False)
     page = ["site_url", "page_ord"]
     by_blocks = match_targets(_contact_rows(found, F.col("from_blocks")), targets)
-    by_text = match_targets(_contact_rows(found, F.col("from_text")), targets)
+    by_text = match_targets(contacts_from_text(pages), targets)
     rest = by_text.join(by_blocks.select(*page).distinct(), page, "left_anti")
     return dedup_name_company(validate_strict(by_blocks.unionByName(rest.select(by_blocks.columns)), normalize=False))

@@ -201,7 +201,12 @@ def people_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def people_pages_of(customer: DataFrame) -> DataFrame:
-    fields = _select(_select(customer, PAGE_KEYS), PAGE_FIELDS)
+    """A page per customer.  The keys are spread over the cores before the html
+    is built: reading a page costs far more than its row in the input file."""
+    spark = customer.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = customer.select("c_custkey").repartition(tasks, "c_custkey")
+    fields = _select(_select(keys, PAGE_KEYS), PAGE_FIELDS)
     return fields.withColumn("html", F.expr(PAGE_HTML))
 
 

@@ -3,7 +3,7 @@
 from rosterline import vocab
 from rosterline.plans import derived as D
 from rosterline.plans.oracles import (
-    BLOCKLIST, CAT, CONTACTS, DATIVE, DOC_EMAILS, EMAIL, ENTRIES, FIO, FIO_DATIVE, GENDER, KNOWN, LISTED, NAME_PATRONYMIC,
+    BLOCKLIST, CAT, CATEGORISED, CATEGORY_TABLES, CONTACTS, DATIVE, DOC_EMAILS, EMAIL, ENTRIES, FIO, FIO_DATIVE, GENDER, KNOWN, LISTED, NAME_PATRONYMIC,
     ORACLES, PAGE_ROWS, PEOPLE, SITES, STOP, STRICT_INN, UI, VARIANTS, blocked_name, city, contact_rows, domain_of,
     e164, fields, final_name, final_position, generic, generic_final, listed, mobile, on_list, one_space, only_digits,
     oracle, quick_name, strict_name, valid_inn, valid_kpp, words,
@@ -505,3 +505,30 @@ oracle(
     " CAST(NULL AS VARCHAR) AS personal_email, CAST(NULL AS VARCHAR) AS company_email, '7' || c_custkey AS phone FROM customer UNION ALL"
     " SELECT 's' || c_custkey, 0, NULL, 'Без номера', NULL, NULL, NULL, NULL FROM customer",
 )
+
+
+# --- everything together --------------------------------------------------------------------------------
+# The pages give valid names, positions and personal mailboxes only, so the
+# checks remove nothing here; site list, blocklist, dedups and propagation do act.
+_PERSON_W = "(PARTITION BY site_url, lower(full_name), lower(company_name) ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+FOUND = (
+    "found AS (SELECT s.page_ord * 10 + side AS k, s.page_ord, CAST(side AS BIGINT) AS contact_ord, s.site_url,"
+    " coalesce(nullif(l.company_name, ''), 'ООО Пример ' || CAST(site_idx AS STRING)) AS company_name, full_name,"
+    f" {_EXTRACTED} AS position_raw, email AS personal_email, 'info@site' || CAST(site_idx AS STRING) || '.example.ru' AS company_email,"
+    f" {e164('phone_raw')} AS phone, {STRICT_INN.format(x='coalesce(l.inn, s.inn)')} AS inn, kpp"
+    f" FROM sides s LEFT JOIN sites l ON l.url = s.site_url WHERE kind <> 6 AND NOT {on_list(domain_of('s.site_url'))}"
+    " QUALIFY row_number() OVER (PARTITION BY s.site_url, full_name, email, phone_raw ORDER BY s.page_ord, side) = 1)"
+)
+ONE_PERSON = (
+    "one_person AS (SELECT k, page_ord, contact_ord, site_url, company_name, full_name, "
+    + ", ".join(f"first_value({c} IGNORE NULLS) OVER {_PERSON_W} AS {c}" for c in ("position_raw", "personal_email", "company_email", "phone", "inn", "kpp"))
+    + " FROM found QUALIFY row_number() OVER (PARTITION BY site_url, lower(full_name), lower(company_name) ORDER BY k) = 1)"
+)
+FILLED = (
+    f"contacts AS (SELECT * EXCLUDE (inn), position_raw AS position_normalized, coalesce(inn, first_value(inn IGNORE NULLS) OVER {_SITE_W}) AS inn FROM one_person)"
+)
+oracle(
+    "site_contacts",
+    "SELECT site_url, page_ord, contact_ord, company_name, full_name, position_normalized, category, personal_email, company_email, phone, inn, kpp FROM categorised",
+    PEOPLE, SIDES, SITES, BLOCKLIST, FOUND, ONE_PERSON, FILLED, CATEGORY_TABLES, CATEGORISED,
+)
