@@ -12,7 +12,9 @@ from rosterline.schemas import CONTACT_ORDER
 
 
 def _fill(column: str, source: Column) -> Column:
-    return F.coalesce(empty_to_null(F.col(column)), source)
+    """The column, or `source` where it is empty; an empty text without a
+    source stays as it is."""
+    return F.coalesce(empty_to_null(F.col(column)), source, F.col(column))
 
 
 def site_defaults(contacts: DataFrame, sites: DataFrame) -> DataFrame:

@@ -21,13 +21,17 @@ def drop_failed_fetches(pages: DataFrame) -> DataFrame:
     return pages.filter(status.isNotNull() & ~status.isin(403, 404, 429) & (status < 500))
 
 
-def dedup_pages(pages: DataFrame) -> DataFrame:
+def dedup_pages(pages: DataFrame, keep_keys: bool = False) -> DataFrame:
     """One page per site and normalised URL, the first by page_ord.
 
     Only keys are grouped.  The repeats they reveal are removed by page_ord, so
     the html is not shuffled while the repeats are few enough to broadcast.
+    The keys are used twice; keep_keys checkpoints them, which pays off when
+    `pages` is filtered by its html and each use would scan that again.
     """
     keys = pages.select("site_url", "page_ord", normalize_url(F.col("page_url")).alias("_url"))
+    if keep_keys:
+        keys = cut_lineage(keys)
     firsts = keys.groupBy("site_url", "_url").agg(F.min("page_ord").alias("page_ord"))
     repeats = keys.join(firsts.select("site_url", "page_ord"), ["site_url", "page_ord"], "left_anti")
     return pages.join(repeats.select("site_url", "page_ord"), ["site_url", "page_ord"], "left_anti")

@@ -29,7 +29,7 @@ def contact_table(
     """
     if blocklist is not None:
         pages = block_domains(pages, "site_url", blocklist, ["page_ord"])
-    contacts = extract_contacts(dedup_pages(drop_captcha_pages(pages)), targets)
+    contacts = extract_contacts(dedup_pages(drop_captcha_pages(pages), keep_keys=True), targets)
     contacts = dedup_name_email_phone(apply_input_company(contacts, sites))
     contacts = cut_lineage(dedup_merge(normalize_final(contacts)))
     if corrections is not None:

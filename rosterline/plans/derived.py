@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 def pick(number: str, values: list[str | None]) -> str:
     """SQL: the value at `number` modulo the length of the list."""
-    arms = " ".join(
-        f"WHEN {i} THEN " + ("CAST(NULL AS STRING)" if v is None else f"'{v}'") for i, v in enumerate(values)
-    )
-    return f"CASE ({number}) % {len(values)} {arms} END"
+    listed = "¦".join("∅" if v is None else v for v in values)
+    value = f"split_part('{listed}', '¦', CAST(({number}) % {len(values)} + 1 AS INT))"
+    return f"nullif({value}, '∅')" if None in values else value
 
 
 MALE = ["Калашников", "Достоевский", "Толстой", "Соболь", "Белый", "Коваленко", "Фомин", "Зайцев"]

@@ -321,8 +321,8 @@ oracle(
 )
 oracle(
     "fill_from_page_text",
-    "SELECT page_ord, contact_ord, coalesce(nullif(i, ''), CASE WHEN max(nullif(i, '')) OVER w IS NULL THEN t.inn END) AS inn,"
-    " coalesce(nullif(c.kpp, ''), CASE WHEN max(nullif(c.kpp, '')) OVER w IS NULL THEN t.kpp END) AS kpp"
+    "SELECT page_ord, contact_ord, coalesce(nullif(i, ''), CASE WHEN max(nullif(i, '')) OVER w IS NULL THEN t.inn END, i) AS inn,"
+    " coalesce(nullif(c.kpp, ''), CASE WHEN max(nullif(c.kpp, '')) OVER w IS NULL THEN t.kpp END, c.kpp) AS kpp"
     " FROM (SELECT *, CASE WHEN page_ord % 2 = 0 THEN inn END AS i FROM contacts) c LEFT JOIN ("
     "SELECT site_url AS s, arg_min(inn, page_ord) AS inn, min(kpp) AS kpp FROM people WHERE kind <> 6 GROUP BY 1) t ON t.s = c.site_url WINDOW w AS (PARTITION BY site_url)",
     CONTACTS, PEOPLE,
@@ -336,7 +336,7 @@ def _over(column: str, fix: str) -> str:
 
 
 def _into(column: str, fix: str) -> str:
-    return f"coalesce(nullif(c.{column}, ''), nullif(f.{fix}, '')) AS {column}"
+    return f"coalesce(nullif(c.{column}, ''), nullif(f.{fix}, ''), c.{column}) AS {column}"
 
 
 oracle(
