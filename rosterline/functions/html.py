@@ -57,8 +57,9 @@ def html_to_text(html: Column, separator: str = " ") -> Column:
     """Visible text: pieces between tags, stripped, joined by the separator."""
     marked = F.regexp_replace(drop_hidden(html), r"<[a-zA-Z/!?][^>]*>", "\u0001")
     clean = unescape_entities(marked)
-    joined = F.regexp_replace(clean, r"(?U)[\s\u0001]*\u0001[\s\u0001]*", "\u0001")
-    joined = F.regexp_replace(joined, r"(?U)^[\s\u0001]+|[\s\u0001]+$", "")
+    # a run of blanks that holds a mark; tried only where a run starts
+    joined = F.regexp_replace(clean, r"(?U)(?<![\s\u0001])(?=\s*+\u0001)[\s\u0001]++", "\u0001")
+    joined = F.regexp_replace(joined, r"(?U)^[\s\u0001]++|(?<![\s\u0001])[\s\u0001]++$", "")
     return F.replace(joined, F.lit("\u0001"), F.lit(separator))
 
 

@@ -65,7 +65,8 @@ def blocked_domains(domains: DataFrame, blocklist: DataFrame) -> DataFrame:
     listed = blocklist.filter("kind = 'domain'").select(F.col("value").alias("_suffix")).distinct()
     distinct = domains.select(F.col("domain")).filter("domain is not null").distinct()
     exploded = distinct.select("domain", F.explode(domain_suffixes(F.col("domain"))).alias("_suffix"))
-    return exploded.join(listed, "_suffix", "left_semi").select("domain").distinct()
+    # one parent may have countless subdomains, hence the spread
+    return spread_join(exploded, listed, ["_suffix"], "left_semi", ["domain"]).select("domain").distinct()
 
 
 def _split_by_domain(rows: DataFrame, url: str, blocklist: DataFrame, how: str, spread: list[str]) -> DataFrame:

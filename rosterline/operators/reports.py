@@ -146,9 +146,10 @@ def union_site_results(*results: DataFrame) -> DataFrame:
 
 
 def list_records(contacts: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
-    """One page of the exported contacts, in contact order."""
+    """One page of the exported contacts, in contact order.  The page is cut
+    first, so only its rows are formatted."""
     order = ["site_url", *CONTACT_ORDER]
-    return export_projection(contacts).orderBy(*order).offset(offset).limit(limit)
+    return export_projection(contacts.orderBy(*order).offset(offset).limit(limit))
 
 
 SEARCH_FIELDS = ["full_name", "company_name", "personal_email", "phone", "inn"]

@@ -49,14 +49,19 @@ def stored_pages(spark, sf):
     return TR.as_pages(table(spark, sf, "pages"))
 
 
+def html_pages(spark, sf):
+    """Stored pages for queries that read the html."""
+    return TR.as_pages(TR.spread_scan(table(spark, sf, "pages"), "page_id"))
+
+
 def variant_pages(spark, sf):
     """Stored pages behind a changing head, so that every branch is met."""
-    pages = table(spark, sf, "pages")
+    pages = TR.spread_scan(table(spark, sf, "pages"), "page_id")
     return TR.as_pages(pages.withColumn("html", F.concat(F.expr(D.VARIANT_HEAD), "html", F.expr(D.SOCIAL_TAIL))))
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return TR.spread_scan(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
 
 
 def blocklist(spark, sf):
@@ -259,7 +264,7 @@ def same_domain(spark, sf):
 
 @query
 def page_links(spark, sf):
-    return PG.explode_links(stored_pages(spark, sf)).select("page_ord", "link_ord", "url", "text")
+    return PG.explode_links(html_pages(spark, sf)).select("page_ord", "link_ord", "url", "text")
 
 
 @query
@@ -270,14 +275,14 @@ def is_static_asset(spark, sf):
 
 @query
 def is_contact_page_link(spark, sf):
-    links = PG.explode_links(stored_pages(spark, sf))
+    links = PG.explode_links(html_pages(spark, sf))
     relevant = H.is_contact_link(F.struct("url", "text", "title"))
     return links.select("page_ord", "link_ord", relevant.alias("relevant"))
 
 
 @query
 def rank_contact_links(spark, sf):
-    return PG.rank_contact_links(stored_pages(spark, sf)).select("page_ord", "link_rank", "url")
+    return PG.rank_contact_links(html_pages(spark, sf)).select("page_ord", "link_rank", "url")
 
 
 @query
@@ -329,7 +334,7 @@ def drop_failed_fetches(spark, sf):
 
 @query
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.html_to_text(col("html")).alias("text"))
+    return html_pages(spark, sf).select(col("page_ord").alias("page_id"), H.html_to_text(col("html")).alias("text"))
 
 
 @query
@@ -339,7 +344,7 @@ def company_name_from_page(spark, sf):
 
 @query
 def person_blocks_query(spark, sf):
-    rows = D.people_pages(spark, sf).filter("kind in (0, 1)").select("page_ord", F.explode(person_blocks(col("html"))).alias("b"))
+    rows = D.people_pages(spark, sf).select("page_ord", F.explode(person_blocks(col("html"))).alias("b"))
     return rows.select("page_ord", col("b.block_ord").cast("long").alias("block_ord"), "b.text")
 
 
@@ -348,8 +353,9 @@ QUERIES["person_blocks"] = QUERIES.pop("person_blocks_query")
 
 @query
 def person_blocks_fallback(spark, sf):
-    rows = D.people_pages(spark, sf).filter("kind > 1").select("page_ord", F.explode(person_blocks(col("html"))).alias("b"))
-    return rows.select("page_ord", col("b.block_ord").cast("long").alias("block_ord"), "b.text")
+    """Blocks that are no cards: plain siblings with names."""
+    rows = D.people_pages(spark, sf).select("page_ord", F.explode(person_blocks(col("html"))).alias("b"))
+    return rows.filter(col("b.html").rlike(r"^<\w+>")).select("page_ord", col("b.block_ord").cast("long").alias("block_ord"), "b.text")
 
 
 @query
@@ -736,9 +742,8 @@ def fuzzy_dictionary_join(spark, sf):
 
 
 def corrections(spark, sf):
-    """One correction for most contact numbers of every site."""
-    customer = table(spark, sf, "customer").filter("c_custkey % 3 <> 0")
-    return D._select(customer, D.CORRECTION_SQL)
+    """Corrections for the first twelve contact numbers of every site."""
+    return D._select(table(spark, sf, "customer"), D.CORRECTION_SQL)
 
 
 CORRECTED = ["company_name", "full_name", "position_raw", "position_normalized", "personal_email", "company_email", "phone"]

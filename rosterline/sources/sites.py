@@ -73,6 +73,9 @@ def read_sites_txt(spark: SparkSession, path: str) -> DataFrame:
     return sites_from_lines(lines)
 
 
+HEADER_ROWS, SAMPLE_ROWS = 10, 5  # fixed values: where a header may stand; rows read below it
+
+
 def find_header_row(rows: DataFrame) -> DataFrame:
     """Header place of each sheet: the first of ten rows with two filled cells
     and a header keyword; row 0 if there is none.
@@ -80,9 +83,9 @@ def find_header_row(rows: DataFrame) -> DataFrame:
     cells = F.transform(F.filter("cells", lambda c: c.isNotNull()), lambda c: F.lower(strip_ws(c)))
     filled = F.filter(cells, lambda c: c != "")
     pattern = "|".join(vocab.HEADER_KEYWORDS)
-    is_header = (F.size(filled) >= 2) & F.exists(filled, lambda c: c.rlike(pattern)) & (F.col("row_ord") < 10)
+    is_header = (F.size(filled) >= 2) & F.exists(filled, lambda c: c.rlike(pattern))
     place = F.min(F.when(is_header, F.col("row_ord")))
-    return rows.groupBy("sheet_id").agg(F.coalesce(place, F.lit(0)).cast("long").alias("header_row"))
+    return rows.filter(F.col("row_ord") < HEADER_ROWS).groupBy("sheet_id").agg(F.coalesce(place, F.lit(0)).cast("long").alias("header_row"))
 
 
 def _first_column(headers: Column, keywords: list[str]) -> Column:
@@ -105,8 +108,9 @@ def infer_column_roles(headers: DataFrame) -> DataFrame:
 def infer_url_column_by_content(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Per sheet the first column with two URL-like values among the five rows
     after the header.  Only those rows are exploded."""
-    below = rows.join(headers, "sheet_id").filter(
-        (F.col("row_ord") > F.col("header_row")) & (F.col("row_ord") <= F.col("header_row") + 5)
+    top = rows.filter(F.col("row_ord") < HEADER_ROWS + SAMPLE_ROWS)
+    below = top.join(headers, "sheet_id").filter(
+        (F.col("row_ord") > F.col("header_row")) & (F.col("row_ord") <= F.col("header_row") + SAMPLE_ROWS)
     )
     cell = strip_ws(F.col("cell"))
     counts = (
@@ -136,7 +140,8 @@ def read_sites_table(rows: DataFrame) -> DataFrame:
     back with the hot sheets spread.
     """
     headers = find_header_row(rows)
-    header_cells = rows.join(headers, "sheet_id").filter("row_ord = header_row").select("sheet_id", "cells")
+    top = rows.filter(F.col("row_ord") < HEADER_ROWS)
+    header_cells = top.join(headers, "sheet_id").filter("row_ord = header_row").select("sheet_id", "cells")
     roles = infer_column_roles(header_cells)
     by_content = infer_url_column_by_content(rows, headers).withColumnRenamed("url_col", "content_col")
     meta = headers.join(roles, "sheet_id", "left").join(by_content, "sheet_id", "left").select(

@@ -9,6 +9,14 @@ from rosterline.functions.urls import url_host, url_scheme
 from rosterline.operators.blocklist import blocklist_from_entries
 
 
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Hash a scan over the cores if it has fewer splits than cores: reading
+    html or long text costs more than moving it once.  A large table has more
+    splits than cores and stays where it is.  For scans only, not for plans."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def as_pages(stored: DataFrame) -> DataFrame:
     """page_id, url, html -> the pages table; the site is scheme and host."""
     url = F.col("url")

@@ -145,3 +145,9 @@ def test_mailboxes_move_when_outputs_reuse_input_names(spark):
 
 def test_truncation_marks_only_long_text(spark):
     assert values(spark, lambda c: T.truncate_text(c, 3, "~"), ["abc", "abcd"]) == ["abc", "abc~"]
+
+
+def test_long_runs_of_blanks_take_linear_time(spark):
+    run = " " * 300_000
+    assert values(spark, T.strip_ws, [f" a{run}b{run}"]) == [f"a{run}b"]
+    assert values(spark, H.html_to_text, [f"<p>a{run}b</p>{run}<i> c </i>"]) == [f"a{run}b c"]
