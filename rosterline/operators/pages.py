@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline import vocab
 from rosterline.functions.html import contact_links, has_captcha, page_links
 from rosterline.functions.text import strip_ws
 from rosterline.functions.urls import normalize_url, url_host, url_path
@@ -101,8 +100,8 @@ def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int = 10) -
     return visited.select("site_url", "url", "page_ord", F.col("depth").cast("long").alias("depth"), "path")
 
 
-def robots_rules(content: Column) -> Column:
-    """Disallow prefixes of a robots file that apply to us.
+def robots_rules(content: Column, agents: tuple[str, ...] = ("*", "rosterline")) -> Column:
+    """Disallow prefixes of a robots file that apply to these agents.
 
     A fold over the lines of one file: the last user-agent line decides."""
     lines = F.transform(F.split(content, r"\r\n|\r|\n"), strip_ws)
@@ -112,7 +111,7 @@ def robots_rules(content: Column) -> Column:
         key = F.lower(strip_ws(F.split_part(line, F.lit(":"), F.lit(1))))
         value = strip_ws(F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1))
         parsed = F.contains(line, F.lit(":")) & ~F.startswith(line, F.lit("#"))
-        applies = F.when(parsed & (key == "user-agent"), value.isin(vocab.ROBOTS_AGENTS)).otherwise(acc.applies)
+        applies = F.when(parsed & (key == "user-agent"), value.isin(*agents)).otherwise(acc.applies)
         adds = parsed & (key == "disallow") & acc.applies & (value != "")
         rules = F.when(adds, F.array_append(acc.rules, value)).otherwise(acc.rules)
         return F.struct(applies.alias("applies"), rules.alias("rules"))
@@ -120,11 +119,11 @@ def robots_rules(content: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc.rules)
 
 
-def robots_filter(pages: DataFrame, robots: DataFrame) -> DataFrame:
+def robots_filter(pages: DataFrame, robots: DataFrame, agents: tuple[str, ...] = ("*", "rosterline")) -> DataFrame:
     """Pages whose path no rule of their host forbids; no rules, no limit.
 
     `robots` holds one file per host: columns host and content."""
-    rules = robots.select(F.lower("host").alias("_host"), robots_rules(F.col("content")).alias("_rules"))
+    rules = robots.select(F.lower("host").alias("_host"), robots_rules(F.col("content"), agents).alias("_rules"))
     hosted = pages.withColumn("_host", url_host(F.col("page_url")))
     joined = spread_join(hosted, rules, ["_host"], "left", ["page_ord", "page_url"])
     path = F.when(url_path(F.col("page_url")) == "", F.lit("/")).otherwise(url_path(F.col("page_url")))

@@ -269,7 +269,7 @@ OTHER_HOST = (
 # robots files by the length of the host; \n is written by the caller
 ROBOTS_FILE = (
     "CASE length(host) % 4 WHEN 0 THEN 'User-agent: *{nl}Disallow: /a{nl}Allow: /about{nl}Crawl-delay: 1'"
-    " WHEN 1 THEN 'User-agent: BadBot{nl}Disallow: /{nl}{nl}# c{nl}user-agent: ContactParser{nl}Disallow:{nl}disallow:  /the '"
+    " WHEN 1 THEN 'User-agent: BadBot{nl}Disallow: /{nl}{nl}# c{nl}user-agent: rosterline{nl}Disallow:{nl}disallow:  /the '"
     " WHEN 2 THEN 'Disallow: /{nl}no colon' ELSE 'User-agent: *{nl}Disallow: /' END"
 )
 # page variants for language, title and site name
