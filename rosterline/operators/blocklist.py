@@ -27,8 +27,10 @@ def classify_entry(value: Column) -> Column:
 def blocklist_from_entries(entries: DataFrame) -> DataFrame:
     """Distinct (kind, value) of raw text entries; blanks and # lines dropped."""
     value = strip_ws(F.col("entry"))
-    rows = entries.filter((value != "") & ~F.startswith(value, F.lit("#"))).select(classify_entry(value).alias("e"))
-    return rows.filter(F.col("e").isNotNull()).select("e.kind", "e.value").distinct()
+    rows = entries.filter((value != "") & ~F.startswith(value, F.lit("#")))
+    # inline: a filter after it is not pushed into the classification
+    kinds = rows.select(F.inline_outer(F.array(classify_entry(value))))
+    return kinds.filter(F.col("kind").isNotNull()).distinct()
 
 
 def blocklist_add(blocklist: DataFrame, entries: DataFrame) -> DataFrame:

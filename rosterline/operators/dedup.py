@@ -14,7 +14,7 @@ from rosterline.functions.fields import (
 from rosterline.functions.names import name_blocked, name_collapse_ws, name_valid_final
 from rosterline.functions.positions import position_valid_final
 from rosterline.functions.text import empty_to_null, strip_ws
-from rosterline.operators.skew import earliest, first_by
+from rosterline.operators.skew import computed_once, earliest, first_by
 from rosterline.schemas import CONTACT_ORDER
 
 MERGED_FIELDS = [
@@ -53,7 +53,7 @@ def final_reason(contacts: DataFrame) -> DataFrame:
     personal, company = relocate_generic_email(
         F.col("personal_email"), F.col("company_email"), is_generic_email_final(F.col("personal_email"))
     )
-    cleaned = contacts.withColumns({
+    cleaned = computed_once(contacts, {
         "_valid": name_valid_final(name),
         "_blocked": name_blocked(name),
         "full_name": name_collapse_ws(name),
@@ -71,7 +71,7 @@ def final_reason(contacts: DataFrame) -> DataFrame:
         .when(F.col("_blocked"), "blocked_name")
         .when(~useful, "no_field")
     )
-    return cleaned.withColumn("reason", reason).drop("_valid", "_blocked")
+    return cleaned.withColumn("reason", reason).select(*contacts.columns, "reason")
 
 
 def normalize_final(contacts: DataFrame) -> DataFrame:

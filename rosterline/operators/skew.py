@@ -14,6 +14,14 @@ def exploded(df: DataFrame, keep: list[str], array: Column, place: str, value: s
     return rows.filter(F.col(place).isNotNull())
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns so that a later filter on them is not pushed into
+    the computation, which would evaluate every expression a second time."""
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(packed)))
+
+
 def first_by(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """The first row of every key.
 
