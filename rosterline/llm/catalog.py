@@ -1,4 +1,4 @@
 """Queries and oracles of the subpackage."""
 
-from rosterline.llm import line_dedup, packing, quality, sharding, simhash  # noqa: F401
+from rosterline.llm import licenses, line_dedup, mixing, packing, quality, sharding, simhash  # noqa: F401
 from rosterline.llm.common import ORACLES, QUERIES  # noqa: F401
