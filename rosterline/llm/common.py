@@ -96,36 +96,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def byte_words(texts: list, is_word: np.ndarray):
+class ByteWords:
     """Words of many texts at once, ASCII letters in lower case.
 
-    Returns (hash per word, document per word, buffer, start and end of each
-    word in the buffer).  `is_word` says for each byte whether it belongs to a
-    word; a line break never does, so words end with their text.
+    `is_word` says for each byte whether it belongs to a word; a line break never
+    does, so words end with their text.  Per word: its text's number (`doc`) and
+    its place in the joined bytes (`starts`, `ends`); `hashes` gives a 64-bit hash
+    of every word, or of its first bytes.
     """
-    joined = b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts).lower()
-    data = np.frombuffer(joined + b"\n", dtype=np.uint8)
-    lengths = np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    inside = is_word[data]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    doc = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    return word_hashes(data, starts, ends), doc, joined, starts, ends
+
+    def __init__(self, texts: list, is_word: np.ndarray):
+        encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join([*encoded, b""]).lower(), dtype=np.uint8)
+        inside = np.concatenate(([False], is_word[data], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        limits = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1)
+        self.doc = np.searchsorted(limits, self.starts, side="right")
+        n = len(data)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+            self._sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_SCATTER[data] * powers, out=self._sums[1:])
+            self._back = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
+
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """From prefix sums of code(b[i]) * base**i, divided by base**start."""
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
+        with np.errstate(over="ignore"):
+            sums = (self._sums[ends] - self._sums[self.starts]) * self._back[self.starts]
+            return mix64(sums + (ends - self.starts).astype(np.uint64))
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte range, from prefix sums of b[i] * base**i."""
-    n = len(data)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_SCATTER[data]) * powers, out=sums[1:])
-        back = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
-        return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-
-
 _SCATTER = odd_constants(256, 5)

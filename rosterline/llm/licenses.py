@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import byte_words, documents, mix64, null_safe, query, row_key
+from rosterline.llm.common import ByteWords, documents, mix64, null_safe, query, row_key
 
 #: Base phrases and their labels: fixed values of the query's contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -52,7 +52,7 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def words_of(text: str) -> np.ndarray:
-    return byte_words([text], _WORD_BYTES)[0]
+    return ByteWords([text], _WORD_BYTES).hashes()
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str], size: int = GRAM) -> DataFrame:
@@ -70,7 +70,8 @@ def document_grams(docs: DataFrame, doc_id: str, text: str, size: int = GRAM) ->
     def grams(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            words, doc, *_ = byte_words(texts, _WORD_BYTES)
+            scanned = ByteWords(texts, _WORD_BYTES)
+            words, doc = scanned.hashes(), scanned.doc
             if len(words) < size:
                 continue
             found = gram_hashes(words, size)
@@ -125,7 +126,8 @@ def base_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def count(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            words, doc, *_ = byte_words(texts, _WORD_BYTES)
+            scanned = ByteWords(texts, _WORD_BYTES)
+            words, doc = scanned.hashes(), scanned.doc
             n = len(texts)
             first = np.searchsorted(doc, np.arange(n + 1))
             places, labels = [[] for _ in range(n)], [set() for _ in range(n)]

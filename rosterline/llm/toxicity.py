@@ -7,16 +7,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import byte_words, documents, query, stored
+from rosterline.llm.common import ByteWords, documents, mix64, query, stored
 
 #: Token scores live in a table of this many hashed buckets: the bound of the model.
 BUCKETS = 1 << 20
 #: Labelled rows the model is fitted on at most: those with the smallest hashes.
 TRAIN_ROWS = 20_000
-#: Tokens that the prior weighs for each class, dealt by corpus frequency.
-PRIOR = 20_000.0
+#: Documents that the prior weighs for each class: PRIOR dealt by corpus frequency, EACH to every bucket.
+PRIOR, EACH = 20_000.0, 0.5
+#: A token counts as a whole and by its first bytes, so that inflected forms share evidence.
+PREFIXES = (None, 4, 5)
 #: A token scores if its log-odds are this many standard deviations from 0.
 LEAST_Z = 4.0
+#: ... and at least this large: length and topic shift the odds of common tokens a little.
+LEAST_ODDS = 2.0
 #: What a token without evidence costs.
 COST = 0.05
 
@@ -29,24 +33,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def token_buckets(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    words, doc, *_ = byte_words(texts, _WORD_BYTES)
-    return (words >> np.uint64(44)).astype(np.int64) % BUCKETS, doc
+def token_buckets(texts: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """A bucket per token for each of PREFIXES, and the text of each token."""
+    words = ByteWords(texts, _WORD_BYTES)
+    salted = [words.hashes(p) ^ np.uint64(0x5851F42D4C957F2D * i % (1 << 64)) for i, p in enumerate(PREFIXES)]
+    return [(mix64(h) >> np.uint64(44)).astype(np.int64) % BUCKETS for h in salted], words.doc
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(bucket, n_all, n_toxic, n_clean) over all rows of docs (text, toxic or null)."""
+    """(bucket, n_all, n_toxic, n_clean) over all rows of docs (text, toxic or
+    null): tokens of the whole corpus, documents of either label."""
 
     def count(batches):
         total = np.zeros((3, BUCKETS), dtype=np.int64)
         for batch in batches:
             texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            bucket, doc = token_buckets(texts)
-            total[0] += np.bincount(bucket, minlength=BUCKETS)
-            for row, label in ((1, 1), (2, 0)):
-                chosen = np.array([x == label for x in toxic], dtype=bool)
-                if chosen.any():
-                    total[row] += np.bincount(bucket[chosen[doc]], minlength=BUCKETS)
+            every, doc = token_buckets(texts)
+            for bucket in every:
+                total[0] += np.bincount(bucket, minlength=BUCKETS)
+                for row, label in ((1, 1), (2, 0)):
+                    chosen = np.array([x == label for x in toxic], dtype=bool)
+                    if chosen.any():
+                        own = chosen[doc]
+                        pairs = np.unique(doc[own] * BUCKETS + bucket[own])
+                        total[row] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
         used = np.flatnonzero(total[0])
         for i in range(0, len(used), 65536):
             part = used[i:i + 65536]
@@ -58,15 +68,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_clean")])
 
 
-def log_odds(counts: DataFrame) -> DataFrame:
-    """(bucket, score, n_clean): log-odds of toxic against clean with a Dirichlet
-    prior in proportion to the corpus counts, where they are significant."""
-    n_all, n_toxic, n_clean = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_all", "n_toxic", "n_clean")]).first()
-    prior = F.col("n_all") * (PRIOR / max(1, n_all))
-    odds = lambda c, n: F.ln((F.col(c) + prior) / F.greatest(n + PRIOR - F.col(c) - prior, F.lit(1e-9)))
+def log_odds(counts: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
+    """(bucket, score, n_all): log-odds of toxic against clean documents with a
+    Dirichlet prior in proportion to the corpus counts, where they are significant."""
+    n_all = counts.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
+    prior = F.col("n_all") * (PRIOR / max(1, n_all)) + EACH
+    odds = lambda c, n: F.ln((F.col(c) + prior) / (n + prior))
     spread = F.sqrt(1 / (F.col("n_toxic") + prior) + 1 / (F.col("n_clean") + prior))
-    delta = odds("n_toxic", n_toxic) - odds("n_clean", n_clean)
-    return counts.select("bucket", delta.alias("score"), (delta / spread).alias("z"), "n_clean").filter(F.abs("z") >= LEAST_Z)
+    delta = odds("n_toxic", toxic_rows) - odds("n_clean", clean_rows)
+    return counts.select("bucket", delta.alias("score"), (delta / spread).alias("z"), "n_all").filter(
+        (F.abs("z") >= LEAST_Z) & (F.abs("score") >= LEAST_ODDS)
+    )
 
 
 def maximal_segments(places: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -112,8 +124,9 @@ class Scorer:
         return dense
 
     def segments(self, texts: list, dense: np.ndarray) -> tuple[list, np.ndarray]:
-        bucket, doc = token_buckets(texts)
-        value = dense[bucket]
+        every, doc = token_buckets(texts)
+        seen = np.stack([dense[bucket] for bucket in every])
+        value = np.where(seen.max(axis=0) > 0, seen.max(axis=0), seen.min(axis=0))
         hit = np.flatnonzero(value)
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         cut = np.searchsorted(hit, first)
@@ -130,10 +143,10 @@ class Scorer:
         return sum(max(0.0, self.decay * s - base) for _, _, s in found)
 
 
-def fit_decay(score: np.ndarray, n_clean: np.ndarray, rest: float) -> float:
-    """The positive root of sum(p * exp(x * score)) = 1 over the clean token distribution."""
-    total = n_clean.sum() + rest
-    value = lambda x: (n_clean @ np.exp(np.minimum(x * score, 50.0)) + rest * math.exp(-x * COST)) / total - 1
+def fit_decay(score: np.ndarray, tokens: np.ndarray, rest: float) -> float:
+    """The positive root of sum(p * exp(x * score)) = 1 over the tokens of the corpus."""
+    total = tokens.sum() + rest
+    value = lambda x: (tokens @ np.exp(np.minimum(x * score, 50.0)) + rest * math.exp(-x * COST)) / total - 1
     low, high = 1e-3, 1e-3
     while value(high) < 0 and high < 64:
         high *= 2
@@ -174,13 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, float, float]:
     chosen = F.broadcast(train_rows(labels))
     joined = docs.select("doc_id", "text").join(chosen, "doc_id", "left")
     counts = stored(count_tokens(joined))
-    rows = log_odds(counts).orderBy("bucket").toPandas()
+    share = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = log_odds(counts, share[0], share[1] - share[0]).orderBy("bucket").toPandas()
     bucket, score = rows["bucket"].to_numpy(dtype=np.int64), rows["score"].to_numpy(dtype=float)
-    n_clean = rows["n_clean"].to_numpy(dtype=float)
-    all_clean = counts.agg(F.coalesce(F.sum("n_clean"), F.lit(0))).first()[0]
+    tokens = rows["n_all"].to_numpy(dtype=float)
+    n_all = counts.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
     scorer = Scorer(bucket, score)
-    if len(bucket) and all_clean:
-        scorer.decay = fit_decay(score, n_clean, all_clean - n_clean.sum())
+    if len(bucket):
+        scorer.decay = fit_decay(score, tokens, max(0.0, n_all - tokens.sum()))
 
     def best(batches):
         dense = scorer.table()
