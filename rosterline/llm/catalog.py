@@ -1,4 +1,4 @@
 """Queries and oracles of the subpackage."""
 
-from rosterline.llm import licenses, line_dedup, mixing, packing, quality, secrets, sharding, simhash, toxicity  # noqa: F401
+from rosterline.llm import edit_embedding, licenses, line_dedup, mixing, packing, quality, secrets, sharding, simhash, toxicity  # noqa: F401
 from rosterline.llm.common import ORACLES, QUERIES  # noqa: F401
