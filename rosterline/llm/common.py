@@ -66,17 +66,17 @@ def ranked(df: DataFrame, keys: list[str], name: str, blocks: int = 1024) -> Dat
     `blocks` tasks.
     """
     columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    hashed = counted.withColumn("__h", F.xxhash64(F.lit(11), *columns))
-    share = (F.shiftright("__h", 40) + (1 << 23)) / (1 << 24)
-    hashed = stored(hashed.withColumn("__b", F.floor(share * blocks).cast("int")))
-    totals = hashed.groupBy(*keys, "__b").agg(F.sum("__n").alias("__t"))
-    ahead = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("__h", *columns).rowsBetween(Window.unboundedPreceding, -1)
-    before = hashed.withColumn("__i", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    first = null_safe(before, offsets, [*keys, "__b"], "inner").withColumn("__s", F.col("__o") + F.col("__i"))
-    one_each = F.sequence("__s", F.col("__s") + F.col("__n") - 1)
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__rank_n"))
+    hashed = counted.withColumn("__rank_h", F.xxhash64(F.lit(11), *columns))
+    share = (F.shiftright("__rank_h", 40) + (1 << 23)) / (1 << 24)
+    hashed = stored(hashed.withColumn("__rank_b", F.floor(share * blocks).cast("int")))
+    totals = hashed.groupBy(*keys, "__rank_b").agg(F.sum("__rank_n").alias("__rank_t"))
+    ahead = Window.partitionBy(*keys).orderBy("__rank_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__rank_b", F.coalesce(F.sum("__rank_t").over(ahead), F.lit(0)).alias("__rank_o"))
+    inside = Window.partitionBy(*keys, "__rank_b").orderBy("__rank_h", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    before = hashed.withColumn("__rank_i", F.coalesce(F.sum("__rank_n").over(inside), F.lit(0)))
+    first = null_safe(before, offsets, [*keys, "__rank_b"], "inner").withColumn("__rank_s", F.col("__rank_o") + F.col("__rank_i"))
+    one_each = F.sequence("__rank_s", F.col("__rank_s") + F.col("__rank_n") - 1)
     return first.select(*columns, F.explode(one_each).alias(name))
 
 
