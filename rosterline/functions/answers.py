@@ -15,7 +15,8 @@ def _valid(candidate: Column) -> Column:
 
 
 def json_object_from_text(text: Column) -> Column:
-    """The JSON object of an answer: bare, fenced, or the first brace to the last."""
+    """The JSON object of an answer after its thinking part: bare, fenced, or the first brace to the last."""
+    text = after_thinking(text)
     bare = F.when(F.startswith(strip_ws(text), F.lit("{")), strip_ws(text))
     fenced = strip_ws(F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1))
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)

@@ -7,11 +7,6 @@ from rosterline import vocab
 from rosterline.functions.text import collapse_ws, empty_to_null, let, lookup
 
 
-def rule_pattern(phrases: list[str]) -> str:
-    body = "|".join(phrases).replace(" ", r"\s+").replace("[-_]", "[- ]")
-    return rf"(?U)\b(?:{body})\b"
-
-
 def contact_position(normalized: Column, raw: Column) -> Column:
     return F.coalesce(empty_to_null(normalized), raw)
 
@@ -24,8 +19,8 @@ def crm_category(position: Column) -> Column:
 def _category(text: Column) -> Column:
     exact = {v: category for category, variants in vocab.CATEGORY_VARIANTS.items() for v in variants}
     by_rule = F.when(text == "", vocab.DEFAULT_CATEGORY)
-    for category, phrases in vocab.CATEGORY_RULES:
-        by_rule = by_rule.when(text.rlike(rule_pattern(phrases)), category)
+    for category, pattern in vocab.CATEGORY_RULES:
+        by_rule = by_rule.when(text.rlike("(?U)" + pattern), category)
     return F.coalesce(lookup(text, exact), by_rule.otherwise(vocab.DEFAULT_CATEGORY))
 
 

@@ -109,7 +109,7 @@ def extract_social_links(html: Column) -> Column:
 def _with_scheme(link: Column) -> Column:
     return (
         F.when(link == "", F.lit(None))
-        .when(F.startswith(link, F.lit("http")), link)
+        .when(link.rlike("(?i)^https?:"), link)
         .otherwise(F.concat(F.lit("https://"), link))
     )
 

@@ -1,5 +1,7 @@
 """HTML expressions that need no tree: text, language, company name, links."""
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,8 @@ from rosterline.functions.urls import is_static_asset, normalize_url, resolve_ur
 
 # fixed values: elements whose content is no text, and named entities
 HIDDEN_ELEMENTS = ["script", "style", "noscript", "head"]
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&middot;", "·"), ("&copy;", "©"),
-    ("&amp;", "&"),
-]
+# Named character references of HTML 5, from the standard library.
+NAMED_ENTITIES = {name: char for name, char in html5.items() if name.endswith(";")}
 
 
 def _code_points(text: Column, pattern: str, base: int) -> Column:
@@ -35,9 +33,18 @@ def _numeric(text: Column) -> Column:
 
 
 def _named(text: Column) -> Column:
-    out = _numeric(text)
-    for entity, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    """Each different reference of a text is looked up once; `&amp;` comes last,
+    so that the text it makes is not read again."""
+    names = F.lit(",".join(NAMED_ENTITIES))
+    chars = F.split(F.lit("\u0001".join(NAMED_ENTITIES.values())), "\u0001")
+
+    def one(acc: Column, ref: Column) -> Column:
+        place = F.find_in_set(F.substring(ref, 2, 64), names)
+        return F.when(place > 0, F.replace(acc, ref, F.try_element_at(chars, place))).otherwise(acc)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&[A-Za-z][A-Za-z0-9]*;"), F.lit(0)))
+    plain = F.array_remove(F.array_remove(found, "&amp;"), "&AMP;")
+    out = F.replace(F.replace(F.aggregate(plain, _numeric(text), one), F.lit("&AMP;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
     return F.when(text.contains("&"), out).otherwise(text)
 
 

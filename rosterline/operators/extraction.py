@@ -17,7 +17,6 @@ from rosterline.functions.text import empty_to_null, let, strip_ws
 from rosterline.operators.dedup import dedup_name_company
 from rosterline.operators.skew import exploded
 
-MAX_TEXT_NAMES = 20  # fixed value: names paired by place on pages without blocks
 
 
 def split_generic_emails(emails: Column) -> Column:
@@ -78,22 +77,24 @@ def block_candidates(blocks: Column) -> Column:
     return F.filter(F.transform(blocks, read), lambda c: c.full_name.isNotNull())
 
 
-def text_candidates(text: Column, fios: Column, emails: Column, phones: Column, social: Column) -> Column:
+def text_candidates(
+    text: Column, fios: Column, emails: Column, phones: Column, social: Column, max_names: int | None = None, reach: int = 200
+) -> Column:
     """Array of contacts of a page without blocks: the i-th name goes with the
-    i-th email and the i-th phone."""
+    i-th email and the i-th phone.  All names count unless max_names is given."""
     def paired(first: Column, text_: Column, emails_: Column, phones_: Column, social_: Column) -> Column:
         return F.transform(
             first,
             lambda fio, i: F.struct(
                 fio.alias("full_name"),
-                E.position_near_name(text_, fio).alias("position_raw"),
+                E.position_near_name(text_, fio, reach).alias("position_raw"),
                 F.get(emails_, i).alias("personal_email"),
                 F.get(phones_, i).alias("phone_raw"),
                 social_.alias("social_links"),
             ),
         )
 
-    return let(F.slice(fios, 1, MAX_TEXT_NAMES), paired, text, emails, phones, social)
+    return let(fios if max_names is None else F.slice(fios, 1, max_names), paired, text, emails, phones, social)
 
 
 def _contact_rows(found: DataFrame, candidates: Column) -> DataFrame:
@@ -117,12 +118,12 @@ def _with_blocks(pages: DataFrame) -> DataFrame:
     return found.withColumn("from_blocks", block_candidates(F.col("blocks")))
 
 
-def _from_text() -> Column:
+def _from_text(max_names: int | None = None, reach: int = 200) -> Column:
     """Candidates of the plain text, written out in full so that a page with
     blocks, for which it is not evaluated, skips the search for names as well."""
     text, html = F.col("text"), F.col("html")
     return text_candidates(
-        text, E.extract_fio_all(text), F.col("emails"), E.extract_phones(text), E.extract_social_links(html)
+        text, E.extract_fio_all(text), F.col("emails"), E.extract_phones(text), E.extract_social_links(html), max_names, reach
     )
 
 
@@ -130,9 +131,9 @@ def contacts_from_blocks(pages: DataFrame) -> DataFrame:
     return _contact_rows(_with_blocks(pages), F.col("from_blocks"))
 
 
-def contacts_from_text(pages: DataFrame) -> DataFrame:
+def contacts_from_text(pages: DataFrame, max_names: int | None = None, reach: int = 200) -> DataFrame:
     """The text reading of every page, whether or not it has blocks."""
-    return _contact_rows(extract_page_entities(pages), _from_text())
+    return _contact_rows(extract_page_entities(pages), _from_text(max_names, reach))
 
 
 def _valid_first_names(candidates: Column) -> Column:
@@ -174,7 +175,9 @@ def validate_strict(contacts: DataFrame, normalize: bool = True) -> DataFrame:
     })
 
 
-def extract_contacts(pages: DataFrame, targets: list[str] | None = None) -> DataFrame:
+def extract_contacts(
+    pages: DataFrame, targets: list[str] | None = None, max_names: int | None = None, reach: int = 200
+) -> DataFrame:
     """Contacts of every page: blocks first, the plain text where blocks gave none.
 
     Without targets the choice, the name check and the page-level dedup are all
@@ -183,10 +186,10 @@ def extract_contacts(pages: DataFrame, targets: list[str] | None = None) -> Data
     """
     found = _with_blocks(pages)
     if not targets:
-        chosen = F.when(F.size("from_blocks") > 0, F.col("from_blocks")).otherwise(_from_text())
+        chosen = F.when(F.size("from_blocks") > 0, F.col("from_blocks")).otherwise(_from_text(max_names, reach))
         return validate_strict(_contact_rows(found, _valid_first_names(chosen)), normalize=False)
     page = ["site_url", "page_ord"]
     by_blocks = match_targets(_contact_rows(found, F.col("from_blocks")), targets)
-    by_text = match_targets(contacts_from_text(pages), targets)
+    by_text = match_targets(contacts_from_text(pages, max_names, reach), targets)
     rest = by_text.join(by_blocks.select(*page).distinct(), page, "left_anti")
     return dedup_name_company(validate_strict(by_blocks.unionByName(rest.select(by_blocks.columns)), normalize=False))

@@ -1,5 +1,7 @@
 """Page level operators: which pages are kept, and the links between them."""
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from rosterline.operators.skew import exploded, first_by, spread_join
 from rosterline.session import cut_lineage
 
 
-def drop_captcha_pages(pages: DataFrame) -> DataFrame:
-    return pages.filter(~has_captcha(F.col("html")))
+def drop_captcha_pages(pages: DataFrame, head_chars: int = 5000) -> DataFrame:
+    """Pages without a challenge marker in their first `head_chars` characters."""
+    return pages.filter(~has_captcha(F.col("html"), head_chars))
 
 
 def drop_failed_fetches(pages: DataFrame) -> DataFrame:
@@ -20,6 +23,12 @@ def drop_failed_fetches(pages: DataFrame) -> DataFrame:
     return pages.filter(status.isNotNull() & ~status.isin(403, 404, 429) & (status < 500))
 
 
+def first_pages(keys: DataFrame) -> DataFrame:
+    """(site_url, page_ord) of the first page of every site and normalised URL; reads no html."""
+    named = keys.select("site_url", "page_ord", normalize_url(F.col("page_url")).alias("_url"))
+    return named.groupBy("site_url", "_url").agg(F.min("page_ord").alias("page_ord")).select("site_url", "page_ord")
+
+
 def dedup_pages(pages: DataFrame, keep_keys: bool = False) -> DataFrame:
     """One page per site and normalised URL, the first by page_ord.
 
@@ -50,20 +59,20 @@ def rank_contact_links(pages: DataFrame) -> DataFrame:
     return ranked.withColumn("link_rank", F.col("link_rank").cast("long"))
 
 
-def cap_pages_per_site(candidates: DataFrame, order: list[str], limit: int = 10) -> DataFrame:
-    """The first pages of every site.  Spark limits each task's share of a site
+def cap_pages_per_site(candidates: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first `limit` pages of every site.  Spark limits each task's share of a site
     before the shuffle, so a hot site stays small."""
     place = F.row_number().over(Window.partitionBy("site_url").orderBy(*order))
     return candidates.withColumn("page_rank", place.cast("long")).filter(F.col("page_rank") <= limit)
 
 
-def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
+def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """Pages reached from the start pages over contact links, breadth first.
 
     A page's place is the path of link ranks that led to it: sorting by depth
     and path is the order in which a queue would have visited it.  Every hop is
-    one join over all sites; the loop ends when no site gains a page, after at
-    most `limit` hops, because a site with `limit` pages takes no more.
+    one join over all sites; the loop ends when no site gains a page.  With a
+    limit a site keeps its first `limit` pages, which takes at most that many hops.
     """
     stored = pages.select(
         "site_url", "page_ord", normalize_url(F.col("page_url")).alias("url"),
@@ -81,7 +90,7 @@ def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int = 10) -
         )
     )
     frontier = visited
-    for depth in range(1, limit):
+    for depth in count(1) if limit is None else range(1, limit):
         reached = (
             frontier.select("site_url", F.col("url").alias("from_url"), "path")
             .join(edges, ["site_url", "from_url"])
@@ -91,9 +100,11 @@ def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int = 10) -
             .join(known, ["site_url", "url"])
             .select("site_url", "url", "page_ord", F.lit(depth).alias("depth"), "path")
         )
-        place = F.row_number().over(Window.partitionBy("site_url").orderBy("depth", "path"))
-        kept = visited.unionByName(reached).withColumn("_place", place).filter(F.col("_place") <= limit)
-        visited = cut_lineage(kept.drop("_place"))
+        kept = visited.unionByName(reached)
+        if limit is not None:
+            place = F.row_number().over(Window.partitionBy("site_url").orderBy("depth", "path"))
+            kept = kept.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+        visited = cut_lineage(kept)
         frontier = visited.filter(F.col("depth") == depth)
         if frontier.isEmpty():
             break

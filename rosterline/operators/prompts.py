@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.answers import json_array_from_text
-from rosterline.functions.text import empty_to_null, truncate_text
+from rosterline.functions.text import empty_to_null
 from rosterline.operators.enrich import contact_index
 
 
@@ -31,15 +31,20 @@ def correction_prompts(contacts: DataFrame, contacts_per_part: int = 500) -> Dat
     )
 
 
-def page_prompts(pages: DataFrame, targets: list[str] | None = None) -> DataFrame:
-    """One prompt text per page: company, URL, wanted positions, cut text.
-    pages: page_ord, page_url, company_name, text."""
+def page_prompts(pages: DataFrame, targets: list[str] | None = None, part_chars: int = 12288) -> DataFrame:
+    """Prompt texts of every page: company, URL, wanted positions, text.
+
+    pages: page_ord, page_url, company_name, text.  A text longer than
+    `part_chars` goes on in further parts, so the whole of it is asked about."""
     hint = "\nЦелевые должности для поиска: " + ", ".join(targets) if targets else ""
     prompt = F.concat(
         F.lit("Компания: "), F.coalesce(empty_to_null(F.col("company_name")), F.lit("неизвестна")),
-        F.lit("\nURL: "), "page_url", F.lit(hint), F.lit("\n\nТекст страницы:\n"), truncate_text(F.col("text")),
+        F.lit("\nURL: "), "page_url", F.lit(hint), F.lit("\n\nТекст страницы:\n"),
+        F.substr("text", F.col("part") * part_chars + 1, F.lit(part_chars)),
     )
-    return pages.select("page_ord", "page_url", prompt.alias("prompt"))
+    last = F.greatest(F.ceil(F.length("text") / part_chars), F.lit(1)) - 1
+    parts = pages.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)))))
+    return parts.select("page_ord", "page_url", "part", prompt.alias("prompt"))
 
 
 ANSWER_FIELDS = ["company_name", "full_name", "position", "personal_email", "company_email", "phone"]

@@ -31,7 +31,9 @@ def contacts_by_day(tasks: DataFrame, last_day: Column, days: int = 7) -> DataFr
     calendar = spark.range(1).select(
         F.explode(F.sequence(F.date_sub(last_day, days - 1), last_day)).alias("day")
     )
-    daily = tasks.groupBy(F.to_date("created_at").alias("day")).agg(F.sum("contacts_found").alias("n"))
+    first = F.date_sub(last_day, days - 1).cast("timestamp")
+    recent = tasks.filter((F.col("created_at") >= first) & (F.col("created_at") < F.date_add(last_day, 1).cast("timestamp")))
+    daily = recent.groupBy(F.to_date("created_at").alias("day")).agg(F.sum("contacts_found").alias("n"))
     return calendar.join(daily, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -66,10 +68,14 @@ def token_budget_cutoff(
     calls: DataFrame, session: list[str], order: list[str], block: Column, budget: int = 1_000_000
 ) -> DataFrame:
     """Adds used_before and refused: a request is refused once the requests
-    before it have used up the budget of its session."""
+    before it have used up the budget of its session.  Refused requests use
+    nothing, so used_before stays at what was used when the budget ran out."""
     spent = F.col("tokens_prompt") + F.col("tokens_completion")
     out = running_before(calls, session, order, spent, block, "used_before")
-    return out.withColumn("refused", F.col("used_before") >= budget).withColumn(
+    over = F.col("used_before") >= budget
+    ends = out.filter(over).groupBy(*session).agg(F.min("used_before").alias("_end"))
+    joined = out.join(ends, session, "left").withColumn("used_before", F.when(over, F.col("_end")).otherwise(F.col("used_before")))
+    return joined.drop("_end").withColumn("refused", over).withColumn(
         "reason", F.when(F.col("refused"), "token_budget_exhausted")
     )
 

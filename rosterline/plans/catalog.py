@@ -234,7 +234,9 @@ def export_projection(spark, sf):
 
 @query
 def save_blocklist(spark, sf):
-    return sinks.blocklist_rows(blocklist(spark, sf))
+    path = scratch(spark)
+    sinks.save_blocklist(blocklist(spark, sf), path)
+    return TR.read_saved_blocklist(spark, path)
 
 
 @query
@@ -288,7 +290,7 @@ def rank_contact_links(spark, sf):
 @query
 def cap_pages_per_site(spark, sf):
     pages = stored_pages(spark, sf).select("site_url", "page_ord", F.length("page_url").alias("len"))
-    return PG.cap_pages_per_site(pages, ["len", "page_ord"]).select("site_url", "page_ord", "page_rank")
+    return PG.cap_pages_per_site(pages, ["len", "page_ord"], limit=10).select("site_url", "page_ord", "page_rank")
 
 
 @query
@@ -660,7 +662,7 @@ def scan_date_text(spark, sf):
 
 @query
 def safe_partition_name(spark, sf):
-    name = F.concat("source", F.lit(":/"), "lang", F.lit("*[x]?\\"), F.left("text", F.lit(40)))
+    name = F.concat("source", F.lit(":/"), "lang", F.lit("*[x]?\\"), "text")
     return table(spark, sf, "documents").select("doc_id", T.safe_partition_name(name).alias("name"))
 
 

@@ -1,4 +1,4 @@
-"""The whole way from pages to the clean contact table, as one lazy plan."""
+"""The whole way from pages to the clean contact table."""
 
 from pyspark.sql import DataFrame
 
@@ -8,7 +8,7 @@ from rosterline.operators.enrich import (
     apply_corrections, apply_input_company, fill_from_page_text, propagate_site_fields,
 )
 from rosterline.operators.extraction import extract_contacts
-from rosterline.operators.pages import dedup_pages, drop_captcha_pages
+from rosterline.operators.pages import drop_captcha_pages, first_pages
 from rosterline.session import cut_lineage
 
 
@@ -22,14 +22,19 @@ def contact_table(
 ) -> DataFrame:
     """Clean contacts of all sites.
 
-    The html is filtered and read where it is scanned; from extract_contacts on
-    only narrow contact rows are shuffled.  The merged rows are checkpointed:
+    Which pages count (not blocked, first of its URL) is decided on their keys,
+    a scan without html; the html is read once, where contacts are extracted,
+    and only narrow contact rows meet the kept keys.  So html is never shuffled,
+    at the cost of parsing pages that do not count.  A repeated URL does not come
+    in because its first page was challenged.  The merged rows are checkpointed:
     the steps after them read the contacts twice (site values and rows), and
     without the cut every page would be parsed twice.
     """
+    keys = pages.select("site_url", "page_ord", "page_url")
     if blocklist is not None:
-        pages = block_domains(pages, "site_url", blocklist, ["page_ord"])
-    contacts = extract_contacts(dedup_pages(drop_captcha_pages(pages), keep_keys=True), targets)
+        keys = block_domains(keys, "site_url", blocklist, ["page_ord"])
+    contacts = extract_contacts(drop_captcha_pages(pages), targets)
+    contacts = contacts.join(first_pages(keys), ["site_url", "page_ord"], "left_semi").select(contacts.columns)
     contacts = dedup_name_email_phone(apply_input_company(contacts, sites))
     contacts = cut_lineage(dedup_merge(normalize_final(contacts)))
     if corrections is not None:

@@ -467,10 +467,10 @@ contact_rows("capitalize_first", "upper(lower(position_raw)[1]) || lower(positio
 oracle("scan_date_text", "SELECT event_id, strftime(ts, '%d.%m.%Y %H:%M') AS scan_date FROM events")
 oracle(
     "safe_partition_name",
-    "SELECT doc_id, left(translate(source || ':/' || lang || '*[x]?\\' || left(text, 40), '/\\?*[]:', '_______'), 31) AS name FROM documents",
+    "SELECT doc_id, left(translate(source || ':/' || lang || '*[x]?\\' || text, '/\\?*[]:', '_______'), 31) AS name FROM documents",
 )
 _RULES = ", ".join(
-    f"({i}, '{EDGE_L}(" + "|".join(p).replace(" ", "\\s+").replace("[-_]", "[- ]").replace("\\w", "[\\p{L}\\p{N}_]") + f"){EDGE_R}', '{c}')"
+    f"({i}, '{EDGE_L}(" + p[5:-3].replace("\\w", "[\\p{L}\\p{N}_]") + f"){EDGE_R}', '{c}')"
     for i, (c, p) in enumerate(vocab.CATEGORY_RULES)
 )
 _EXACT = ", ".join(f"('{v}', '{c}')" for c, vs in vocab.CATEGORY_VARIANTS.items() for v in vs)

@@ -197,7 +197,7 @@ oracle(
     + ", ".join(
         "CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in arms.items()) + f" ELSE NULL END AS {n}" if arms else f"CAST(NULL AS VARCHAR) AS {n}"
         for n, arms in _SOCIAL.items()
-    ).replace("'HTTPS://X.com/me'", "'https://HTTPS://X.com/me'")
+    )
     + " FROM pages",
 )
 _MAILS = "[personal_email, company_email]"
@@ -430,7 +430,7 @@ oracle(
 )
 oracle(
     "token_budget_cutoff",
-    "SELECT session, conv_id, turn, CAST(u AS BIGINT) AS used_before, u >= 100000 AS refused FROM (SELECT *, coalesce(sum(p + c) OVER (PARTITION BY session ORDER BY conv_id, turn"
+    "SELECT session, conv_id, turn, CAST(CASE WHEN u >= 100000 THEN min(u) FILTER (WHERE u >= 100000) OVER (PARTITION BY session) ELSE u END AS BIGINT) AS used_before, u >= 100000 AS refused FROM (SELECT *, coalesce(sum(p + c) OVER (PARTITION BY session ORDER BY conv_id, turn"
     " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM calls)",
     CALLS,
 )
@@ -496,8 +496,9 @@ oracle(
 _NL = "chr(10)"
 oracle(
     "page_prompts",
-    f"SELECT doc_id AS page_ord, 'https://' || source AS page_url, 'Компания: ' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'неизвестна' END || {_NL} || 'URL: https://' || source || {_NL}"
-    f" || 'Целевые должности для поиска: Юрист, CFO' || {_NL} || {_NL} || 'Текст страницы:' || {_NL} || CASE WHEN length(text) > 12288 THEN left(text, 12288) || {_NL} || '[текст обрезан]' ELSE text END AS prompt FROM documents",
+    f"SELECT doc_id AS page_ord, 'https://' || source AS page_url, part, 'Компания: ' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'неизвестна' END || {_NL} || 'URL: https://' || source || {_NL}"
+    f" || 'Целевые должности для поиска: Юрист, CFO' || {_NL} || {_NL} || 'Текст страницы:' || {_NL} || substr(text, part * 12288 + 1, 12288) AS prompt"
+    " FROM (SELECT *, unnest(range(CAST(greatest(ceil(length(text) / 12288.0), 1) AS BIGINT))) AS part FROM documents)",
 )
 oracle(
     "parse_answers",

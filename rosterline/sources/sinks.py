@@ -16,29 +16,14 @@ def write_contacts_by_category(contacts: DataFrame, path: str, file_format: str
     writer.format(file_format).save(path)
 
 
-def blocklist_json(blocklist: DataFrame) -> DataFrame:
-    """The list as one JSON text with three sorted arrays: the interchange form
-    of a hand-kept list, used below a checked size only."""
-    def values(kind: str):
-        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("value"))))
-
-    packed = blocklist.agg(
-        F.struct(values("domain").alias("domains"), values("email").alias("emails"), values("inn").alias("inns")).alias("o")
-    )
-    return packed.select(F.to_json("o").alias("json"))
-
-
 def blocklist_rows(blocklist: DataFrame) -> DataFrame:
     """Distinct entries sorted by kind and value; the sort is distributed."""
     return blocklist.select("kind", "value").distinct().orderBy("kind", "value")
 
 
-def save_blocklist(blocklist: DataFrame, path: str, one_document_up_to: int = 1_000_000) -> None:
-    """One JSON document for a small list, sorted JSON lines for a larger one."""
-    if blocklist.count() <= one_document_up_to:
-        blocklist_json(blocklist).write.mode("overwrite").text(path)
-    else:
-        blocklist_rows(blocklist).write.mode("overwrite").json(path)
+def save_blocklist(blocklist: DataFrame, path: str) -> None:
+    """Sorted JSON lines of kind and value, the same form at every size."""
+    blocklist_rows(blocklist).write.mode("overwrite").json(path)
 
 
 def blocklist_tsv(blocklist: DataFrame) -> DataFrame:

@@ -76,6 +76,11 @@ def read_blocklist_json(spark: SparkSession, path: str) -> DataFrame:
     return blocklist_from_entries(json_entries(documents))
 
 
+def read_saved_blocklist(spark: SparkSession, path: str) -> DataFrame:
+    """What save_blocklist wrote."""
+    return spark.read.schema("kind string, value string").json(path)
+
+
 def dictionary_entries(documents: DataFrame) -> DataFrame:
     """JSON objects (file_ord, json) -> file_ord, ord, variant, canonical, in
     the order of the text."""
@@ -86,10 +91,10 @@ def dictionary_entries(documents: DataFrame) -> DataFrame:
 
 
 def read_position_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Dictionary files in priority order -> ord, variant, canonical."""
+    """Dictionary files in priority order -> ord (file, place), variant, canonical."""
     documents = None
     for i, path in enumerate(paths):
         one = spark.read.text(path, wholetext=True).select(F.lit(i).alias("file_ord"), F.col("value").alias("json"))
         documents = one if documents is None else documents.unionByName(one)
     rows = dictionary_entries(documents)
-    return rows.select((F.col("file_ord") * 1_000_000 + F.col("ord")).alias("ord"), "variant", "canonical")
+    return rows.select(F.struct("file_ord", "ord").alias("ord"), "variant", "canonical")

@@ -2,13 +2,15 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from rosterline import vocab
 from rosterline.functions import similarity as S
-from rosterline.operators import blocklist as B, dedup, enrich, extraction as X, matching as M, pages as PG, skew
+from rosterline.operators import blocklist as B, dedup, enrich, extraction as X, matching as M, pages as PG, prompts, skew
+from rosterline.operators import tasks as TK
 from rosterline.plans import derived as D
 from rosterline.sources import sinks, sites as SR, tables as TR
 from rosterline.streaming import jobs as J
@@ -124,15 +126,17 @@ def test_merge_does_not_depend_on_row_order_and_is_stable(spark, sf_dir):
 
 def test_targets_choose_text_when_no_block_matches(spark):
     card = '<div class="card"><h3>Иванов Иван Иванович,</h3><p class="role">Слесарь</p></div>'
-    text = "<p>Юрист, Петров Пётр Петрович, p.petrov@x.ru</p>"
+    text = "<p>Президент: Петров Пётр Петрович, p.petrov@x.ru</p>"
     pages = spark.createDataFrame(
         [("https://a.ru", 1, "https://a.ru/1", card + text), ("https://b.ru", 2, "https://b.ru/2", card)],
         "site_url string, page_ord long, page_url string, html string",
     )
     assert {r.full_name for r in X.extract_contacts(pages).collect()} == {"Иванов Иван Иванович"}
     # on a.ru no card fits, so the text is read: both names stand near the title
-    rows = X.extract_contacts(pages, ["юрист"]).collect()
-    assert {(r.site_url, r.position_raw) for r in rows} <= {("https://a.ru", "Юрист")} | {("https://a.ru", None)}
+    rows = X.extract_contacts(pages, ["президент"]).collect()
+    assert {(r.site_url, r.full_name, r.position_raw) for r in rows} == {
+        ("https://a.ru", "Иванов Иван Иванович", "Президент"), ("https://a.ru", "Петров Пётр Петрович", "Президент"),
+    }
 
 
 def test_blocklist_round_trip(spark, tmp_path):
@@ -140,7 +144,7 @@ def test_blocklist_round_trip(spark, tmp_path):
     found = TR.read_blocklist_text(spark, str(tmp_path / "list.txt"))
     assert sorted(map(tuple, found.collect())) == [("domain", "spam.ru"), ("email", "a@b.ru"), ("inn", "7707083893")]
     sinks.save_blocklist(found, str(tmp_path / "out"))
-    assert sorted(map(tuple, TR.read_blocklist_json(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, found.collect()))
+    assert sorted(map(tuple, TR.read_saved_blocklist(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, found.collect()))
     rows = spark.createDataFrame([(1, "https://shop.spam.ru/a"), (2, "https://notspam.ru")], "i int, url string")
     assert [r.i for r in B.block_domains(rows, "url", found, ["i"]).collect()] == [2]
     assert [r.i for r in B.blocked_by_domain(rows, "url", found, ["i"]).collect()] == [1]
@@ -199,9 +203,51 @@ def test_merge_over_several_batches_equals_one(spark, sf_dir, tmp_path):
 def test_hot_keys_are_cut_before_the_shuffle(spark, sf_dir):
     """Row limits per site and first-row rules are applied on the map side."""
     pages = TR.read_pages(spark, f"{sf_dir}/pages.parquet")
-    capped = PG.cap_pages_per_site(pages.select("site_url", "page_ord"), ["page_ord"])
+    capped = PG.cap_pages_per_site(pages.select("site_url", "page_ord"), ["page_ord"], limit=10)
     plan = capped._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     first = dedup.dedup_name_email_phone(D.contacts(spark, sf_dir))
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_every_name_of_a_page_is_a_contact(spark):
+    first = ["Иван", "Пётр", "Лев", "Олег", "Глеб"]
+    last = ["Громов", "Зуев", "Белов", "Серов", "Жданов"]
+    names = [f"{a} {b} Олегович" for a in last for b in first]
+    page = [("https://a.ru", 1, "https://a.ru/1", "<p>" + "; ".join(names) + "</p>")]
+    pages = spark.createDataFrame(page, "site_url string, page_ord long, page_url string, html string")
+    assert [r.full_name for r in X.extract_contacts(pages).orderBy("contact_ord").collect()] == names
+    assert X.extract_contacts(pages, max_names=20).count() == 20
+
+
+def test_long_page_texts_go_on_in_parts(spark):
+    pages = spark.createDataFrame([(1, "u", None, "ab" * 700), (2, "u", "c", ""), (3, "u", "c", None)], "page_ord long, page_url string, company_name string, text string")
+    rows = prompts.page_prompts(pages, part_chars=1000).orderBy("page_ord", "part").collect()
+    assert [(r.page_ord, r.part) for r in rows] == [(1, 0), (1, 1), (2, 0), (3, 0)]
+    assert "".join(r.prompt.split("Текст страницы:\n")[1] for r in rows[:2]) == "ab" * 700
+
+
+def test_refused_requests_use_nothing(spark):
+    calls = spark.createDataFrame([("s", i, 60, 0) for i in range(5)], "session string, i int, tokens_prompt int, tokens_completion int")
+    out = TK.token_budget_cutoff(calls, ["session"], ["i"], F.col("i"), budget=100).orderBy("i").collect()
+    assert [(r.used_before, r.refused) for r in out] == [(0, False), (60, False), (120, True), (120, True), (120, True)]
+
+
+def test_html_stays_out_of_shuffles(spark, sf_dir):
+    """With no broadcast to lean on, the way from pages to contacts shuffles no html and scans it once."""
+    pages = TR.read_pages(spark, f"{sf_dir}/pages.parquet")
+    blocked = spark.createDataFrame([("domain", "spam.ru")], "kind string, value string")
+    keys = B.block_domains(pages.select("site_url", "page_ord", "page_url"), "site_url", blocked, ["page_ord"])
+    contacts = X.extract_contacts(PG.drop_captcha_pages(pages))
+    joined = contacts.join(PG.first_pages(keys), ["site_url", "page_ord"], "left_semi")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(joined._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    nodes = [x for x in re.split(r"\n\n+", plan) if x.startswith("(")]
+    moved = [x for x in nodes if "Exchange" in x.splitlines()[0]]
+    assert moved and not any("html#" in x for x in moved)
+    assert sum("html" in x for x in nodes if "Scan parquet" in x.splitlines()[0]) == 1
