@@ -20,7 +20,7 @@ SAMPLED = (1, 5, 8, 12, 17, 21, 26, 30)
 TABLE, CODES = 4096, 1021
 SLOTS = 64
 #: Characters embedded at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 #: The shared randomness: for each step and character, bit 0 says whether the
 #: walk moves on, bits 1-4 are the bits that sampling takes of the symbol.
@@ -55,12 +55,11 @@ def _segments(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tup
     """(start, length, text) of every segment."""
     n = len(chars)
     with np.errstate(over="ignore"):
-        h, width = chars.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
+        h, width = np.concatenate((chars, np.zeros(8, dtype=chars.dtype))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
         while width < 8:
             h = h[: len(h) - width] * np.uint64(pow(0x9E3779B97F4A7C15, 3 * width, 1 << 64)) + h[width:]
             width *= 2
-        cut = np.zeros(n, dtype=bool)
-        cut[: len(h)] = (mix64(h) & np.uint64((1 << CUT_BITS) - 1)) == 0
+        cut = (mix64(h[:n]) & np.uint64((1 << CUT_BITS) - 1)) == 0
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(n) - np.repeat(starts, lengths)
     cut &= place + 8 <= np.repeat(lengths, lengths)
@@ -76,8 +75,7 @@ def _fingerprints(texts: list[str]) -> list[str]:
     digits = np.zeros((len(texts), SLOTS), dtype=np.uint8)
     if lengths.sum():
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        padded = np.concatenate((chars, np.zeros(8, dtype=chars.dtype)))
-        at, size, text = _segments(padded[: len(chars)], np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+        at, size, text = _segments(chars, np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
         # segments apart from each other, with room for a band's steps behind each
         offset = np.concatenate(([0], np.cumsum(size + STEPS)[:-1]))
         codes = np.zeros(int(offset[-1] + size[-1] + STEPS), dtype=np.int16)
