@@ -295,15 +295,14 @@ def cap_pages_per_site(spark, sf):
 
 @query
 def expand_link_frontier(spark, sf):
-    """Every page of a site links to the next two; the walk starts at the first.
+    """Pages of a site link to those 1, 2, 4 ... 512 further on; the walk starts at the first.
 
     The link targets stand in a generated navigation in front of the stored html.
     """
     people_ = D.people_pages(spark, sf)
-    nav = F.concat(
-        F.lit('<a href="/people/'), (col("k") + 1).cast("string"), F.lit('">команда</a><a href="/people/'),
-        (col("k") + 3).cast("string"), F.lit('">команда</a>'),
-    )
+    nav = F.concat(*[
+        F.concat(F.lit('<a href="/people/'), (col("k") + (1 << i)).cast("string"), F.lit('">команда</a>')) for i in range(10)
+    ])
     pages = people_.select("site_url", "page_ord", "page_url", F.concat(nav, "html").alias("html"))
     starts = pages.groupBy("site_url").agg(F.min_by("page_url", "page_ord").alias("url"))
     return PG.expand_link_frontier(pages, starts).select("site_url", "page_ord", "depth")

@@ -533,3 +533,10 @@ oracle(
     "SELECT site_url, page_ord, contact_ord, company_name, full_name, position_normalized, category, personal_email, company_email, phone, inn, kpp FROM categorised",
     PEOPLE, SIDES, SITES, BLOCKLIST, FOUND, ONE_PERSON, FILLED, CATEGORY_TABLES, CATEGORISED,
 )
+oracle(
+    "expand_link_frontier",
+    "SELECT w.site_url, w.k AS page_ord, CAST(min(w.depth) AS BIGINT) AS depth FROM walk w GROUP BY 1, 2",
+    "RECURSIVE " + PEOPLE,
+    "walk(site_url, k, depth) AS (SELECT site_url, min(k), 0 FROM people GROUP BY 1"
+    " UNION SELECT w.site_url, p.k, w.depth + 1 FROM walk w JOIN people p ON p.site_url = w.site_url AND p.k - w.k IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512))",
+)
