@@ -114,11 +114,10 @@ class ByteWords:
         limits = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1)
         self.doc = np.searchsorted(limits, self.starts, side="right")
         n = len(data)
+        powers, self._back = _powers(n)
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
             self._sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_SCATTER[data] * powers, out=self._sums[1:])
-            self._back = np.cumprod(np.full(n, _INVERSE, dtype=np.uint64))
+            np.cumsum(_SCATTER[data] * powers[:n], out=self._sums[1:])
 
     def hashes(self, first: int | None = None) -> np.ndarray:
         """From prefix sums of code(b[i]) * base**i, divided by base**start."""
@@ -128,6 +127,31 @@ class ByteWords:
             return mix64(sums + (ends - self.starts).astype(np.uint64))
 
 
+def text_chunks(texts: list, size: int = 1 << 20):
+    """Ranges of consecutive texts of about `size` characters, so that arrays over
+    all characters stay small whatever a batch holds."""
+    at = 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end] or "") <= size):
+            total += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
+def _powers(n: int, kept: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """base**i and base**-i for i < n at least; a worker keeps the usual size."""
+    if kept and len(kept[0][0]) >= n:
+        return kept[0]
+    size = max(n, 1 << 21)
+    with np.errstate(over="ignore"):
+        made = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, dtype=np.uint64)))) for b in (_BASE, _INVERSE))
+    if size <= 1 << 22:
+        kept[:] = [made]
+    return made
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SCATTER = odd_constants(256, 5)

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import ByteWords, documents, mix64, null_safe, query, row_key
+from rosterline.llm.common import ByteWords, documents, mix64, null_safe, query, row_key, text_chunks
 
 #: Base phrases and their labels: fixed values of the query's contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -70,22 +70,22 @@ def document_grams(docs: DataFrame, doc_id: str, text: str, size: int = GRAM) ->
     def grams(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            scanned = ByteWords(texts, _WORD_BYTES)
-            words, doc = scanned.hashes(), scanned.doc
-            if len(words) < size:
-                continue
-            found = gram_hashes(words, size)
-            whole = doc[: len(found)] == doc[size - 1:]
-            first = np.searchsorted(doc, np.arange(len(texts)))
-            at = np.flatnonzero(whole)
-            d = pa.array(doc[at])
-            for i in range(0, len(at), 65536):
-                part = slice(i, i + 65536)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(d[part]), batch.column(1).take(d[part]),
-                     pa.array((at - first[doc[at]])[part].astype(np.int32)), pa.array(found[at][part].view(np.int64))],
-                    names=["__id", "__th", "at", "gram"],
-                )
+            for start, end in text_chunks(texts):
+                scanned = ByteWords(texts[start:end], _WORD_BYTES)
+                words, doc = scanned.hashes(), scanned.doc
+                if len(words) < size:
+                    continue
+                found = gram_hashes(words, size)
+                first = np.searchsorted(doc, np.arange(end - start))
+                at = np.flatnonzero(doc[: len(found)] == doc[size - 1:])
+                for i in range(0, len(at), 65536):
+                    part = at[i:i + 65536]
+                    d = pa.array(doc[part] + start)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(d), batch.column(1).take(d),
+                         pa.array((part - first[doc[part]]).astype(np.int32)), pa.array(found[part].view(np.int64))],
+                        names=["__id", "__th", "at", "gram"],
+                    )
 
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(*row_key(F.col(text), F.col(doc_id)), F.col(text).alias("text"))
@@ -95,8 +95,7 @@ def document_grams(docs: DataFrame, doc_id: str, text: str, size: int = GRAM) ->
 def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__id, __th, template, first, last, cover): verified alignments of templates.
 
-    All rolling word k-grams are joined to the template places (a fixed list,
-    small enough for Spark to broadcast by its size), votes are counted per offset
+    All rolling word k-grams are joined to the template places, votes are counted per offset
     diagonal, diagonals closer than DRIFT that touch in the text are merged, and
     an alignment stands if its votes cover COVER of the template's words inside a
     span at most half as long again as the template.
@@ -126,24 +125,26 @@ def base_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def count(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            scanned = ByteWords(texts, _WORD_BYTES)
-            words, doc = scanned.hashes(), scanned.doc
-            n = len(texts)
-            first = np.searchsorted(doc, np.arange(n + 1))
-            places, labels = [[] for _ in range(n)], [set() for _ in range(n)]
-            for phrase, label in wanted:
-                k = len(phrase)
-                if len(words) < k:
-                    continue
-                m = len(words) - k + 1
-                hit = doc[:m] == doc[k - 1:]
-                for i, h in enumerate(phrase):
-                    hit &= words[i:i + m] == h
-                for at in np.flatnonzero(hit):
-                    places[doc[at]].append(int(at - first[doc[at]]))
-                    labels[doc[at]].add(label)
+            numbers = np.zeros(len(texts), dtype=np.int64)
+            places, labels = [[] for _ in texts], [set() for _ in texts]
+            for start, end in text_chunks(texts):
+                scanned = ByteWords(texts[start:end], _WORD_BYTES)
+                words, doc = scanned.hashes(), scanned.doc
+                first = np.searchsorted(doc, np.arange(end - start + 1))
+                numbers[start:end] = np.diff(first)
+                for phrase, label in wanted:
+                    k = len(phrase)
+                    if len(words) < k:
+                        continue
+                    m = len(words) - k + 1
+                    hit = doc[:m] == doc[k - 1:]
+                    for i, h in enumerate(phrase):
+                        hit &= words[i:i + m] == h
+                    for at in np.flatnonzero(hit):
+                        places[start + doc[at]].append(int(at - first[doc[at]]))
+                        labels[start + doc[at]].add(label)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array([len(p) for p in places], pa.int64()),
+                batch.column(0), batch.column(1), pa.array(numbers), pa.array([len(p) for p in places], pa.int64()),
                 pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()),
                 pa.array([sorted(x) for x in labels], pa.list_(pa.string())),
             ], names=["__id", "__th", "n_words", "n_base", "first_word", "last_word", "found"])

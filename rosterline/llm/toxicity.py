@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import ByteWords, documents, mix64, query, stored
+from rosterline.llm.common import ByteWords, documents, mix64, query, stored, text_chunks
 
 #: Token scores live in a table of this many hashed buckets: the bound of the model.
 BUCKETS = 1 << 20
@@ -48,15 +48,16 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         total = np.zeros((3, BUCKETS), dtype=np.int64)
         for batch in batches:
             texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            every, doc = token_buckets(texts)
-            for bucket in every:
-                total[0] += np.bincount(bucket, minlength=BUCKETS)
-                for row, label in ((1, 1), (2, 0)):
-                    chosen = np.array([x == label for x in toxic], dtype=bool)
-                    if chosen.any():
-                        own = chosen[doc]
-                        pairs = np.unique(doc[own] * BUCKETS + bucket[own])
-                        total[row] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+            for start, end in text_chunks(texts):
+                every, doc = token_buckets(texts[start:end])
+                for bucket in every:
+                    total[0] += np.bincount(bucket, minlength=BUCKETS)
+                    for row, label in ((1, 1), (2, 0)):
+                        chosen = np.array([x == label for x in toxic[start:end]], dtype=bool)
+                        if chosen.any():
+                            own = chosen[doc]
+                            pairs = np.unique(doc[own] * BUCKETS + bucket[own])
+                            total[row] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
         used = np.flatnonzero(total[0])
         for i in range(0, len(used), 65536):
             part = used[i:i + 65536]
@@ -124,6 +125,11 @@ class Scorer:
         return dense
 
     def segments(self, texts: list, dense: np.ndarray) -> tuple[list, np.ndarray]:
+        """The maximal segments and the number of tokens of every text."""
+        parts = [self._segments(texts[a:b], dense) for a, b in text_chunks(texts)]
+        return [f for found, _ in parts for f in found], np.concatenate([n for _, n in parts] or [np.zeros(0, dtype=np.int64)])
+
+    def _segments(self, texts: list, dense: np.ndarray) -> tuple[list, np.ndarray]:
         every, doc = token_buckets(texts)
         seen = np.stack([dense[bucket] for bucket in every])
         value = np.where(seen.max(axis=0) > 0, seen.max(axis=0), seen.min(axis=0))
