@@ -34,6 +34,7 @@ TEMPLATES = {
 GRAM = 3
 #: Neighbouring diagonals up to this far apart are one alignment.
 DRIFT = 3
+BROADCAST_ROWS = 50_000
 #: Share of a template's words that an alignment must cover.
 COVER = 0.75
 
@@ -56,12 +57,17 @@ def words_of(text: str) -> np.ndarray:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str], size: int = GRAM) -> DataFrame:
-    """(gram, template, place, n): every k-gram of every template, n its words."""
+    """(gram, template, place, n): every k-gram of every template, n its words.
+
+    Broadcast up to BROADCAST_ROWS rows (about 2 MB); a larger library is left to
+    Spark's own choice of join.
+    """
     rows = [
         (int(g), name, i, len(words_of(text)))
         for name, text in templates.items() for i, g in enumerate(gram_hashes(words_of(text), size).view(np.int64))
     ]
-    return spark.createDataFrame(rows, "gram long, template string, place int, n int")
+    grams = spark.createDataFrame(rows, "gram long, template string, place int, n int")
+    return F.broadcast(grams) if len(rows) <= BROADCAST_ROWS else grams
 
 
 def document_grams(docs: DataFrame, doc_id: str, text: str, size: int = GRAM) -> DataFrame:
