@@ -45,6 +45,11 @@ def rate(slope: Column, size: Column, mean: Column, cap: float = CAP) -> Column:
     return F.lit(cap) / (1 + F.exp(-tilt))
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of its rows: whole millionths are added."""
+    return F.sum(F.round(value * 1e6).cast("decimal(38,0)")).cast("double") / 1e6
+
+
 def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
     """(source, slope, mean): the dual variable of every source's token constraint.
 
@@ -68,8 +73,8 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame
         joined = null_safe(cells.filter("size > 0"), state.filter("not done"), ["source"], "inner")
         r = rate(F.col("slope"), F.col("size"), F.col("mean"), cap)
         sums = joined.groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * r).alias("value"),
-            F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * r * (1 - r / cap)).alias("steep"),
+            exact_sum(F.col("n") * F.col("size") * r).alias("value"),
+            exact_sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * r * (1 - r / cap)).alias("steep"),
         )
         next_ = null_safe(state, sums, ["source"], "left")
         gap = F.col("value") - F.col("target")
