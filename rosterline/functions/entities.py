@@ -46,15 +46,20 @@ def extract_phones(text: Column) -> Column:
     return F.transform(found, collapse_ws)
 
 
+# fixed values: labels of the identifiers, in running text and in a page's own details
+INN_LABEL, KPP_LABEL = r"(?:ИНН|INN)[\s:№\-]*", r"(?:КПП|KPP)[\s:№\-]*"
+INN_DETAIL, KPP_DETAIL = r"(?:ИНН|INN)[:\s]*(\d{12}|\d{10})(?!\d)", r"(?:КПП|KPP)[:\s]*(\d{9})"
+
+
 def extract_inn(text: Column, require_label: bool = False) -> Column:
     """First labelled or isolated 10 or 12 digit number; 12 digits win."""
-    start = r"(?:ИНН|INN)[\s:№\-]*" if require_label else r"(?:(?:ИНН|INN)[\s:№\-]*|(?<!\d))"
+    start = INN_LABEL if require_label else rf"(?:{INN_LABEL}|(?<!\d))"
     return empty_to_null(F.regexp_extract(text, rf"(?iU){start}(\d{{12}}|\d{{10}})(?!\d)", 1))
 
 
 def extract_kpp(text: Column, require_label: bool = False) -> Column:
     """First labelled or isolated 9 digit number."""
-    labelled = r"(?:КПП|KPP)[\s:№\-]*(\d{9})"
+    labelled = KPP_LABEL + r"(\d{9})"
     pattern = labelled if require_label else labelled + r"|(?<!\d)(\d{9})(?!\d)"
     first = F.regexp_extract(text, rf"(?iU){pattern}", 1)
     if require_label:
@@ -63,11 +68,11 @@ def extract_kpp(text: Column, require_label: bool = False) -> Column:
 
 
 def labelled_inn(text: Column) -> Column:
-    return empty_to_null(F.regexp_extract(text, r"(?iU)(?:ИНН|INN)[:\s]*(\d{12}|\d{10})(?!\d)", 1))
+    return empty_to_null(F.regexp_extract(text, "(?iU)" + INN_DETAIL, 1))
 
 
 def labelled_kpp(text: Column) -> Column:
-    return empty_to_null(F.regexp_extract(text, r"(?iU)(?:КПП|KPP)[:\s]*(\d{9})", 1))
+    return empty_to_null(F.regexp_extract(text, "(?iU)" + KPP_DETAIL, 1))
 
 
 def _initials_form(match: Column) -> Column:

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from rosterline import vocab
 from rosterline.functions.text import contains_any, has_word, let, strip_ws, word_count
 
+# fixed values: what no position may hold
 _PHONE_LIKE = r"(?U)(?:\+7|8[\s\-]?\(?\d{3})\)?[\s\-]?\d{3}"
+_WEB_ADDRESS = r"(?i)https?://|www\."
+_WHOLE_DATE = r"(?U)\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}"
+_LEADING_DAY = r"(?U)^\d{1,2}(?:\s|\.\d{1,2}\.\d{2,4})"
+_NUMBERS_ONLY = r"(?U)^[\d\s.,\-]+$"
+_DOMAIN_END = r"(?U)\.\w{2,3}$"
+_YEAR = r"(?U)\b20[1-3]\d\b"
 
 
 def _yes(condition: Column) -> Column:
@@ -48,9 +55,9 @@ def _strict(value: Column, lowered: Column) -> Column:
     good = (
         F.length(value).between(3, 150)
         & ~value.contains("@")
-        & ~value.rlike(r"(?i)https?://|www\.")
+        & ~value.rlike(_WEB_ADDRESS)
         & ~value.rlike(_PHONE_LIKE)
-        & ~value.rlike(r"(?U)\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}")
+        & ~value.rlike(_WHOLE_DATE)
         & (F.regexp_count(value, F.lit(r"(?U)\d")) <= 4)
         & (address_hits < 2)
         & (word_count(value) <= 8)
@@ -68,16 +75,16 @@ def _final(value: Column, lowered: Column) -> Column:
     good = (
         F.length(value).between(3, 100)
         & ~contains_any(lowered, vocab.MONTHS_RU + vocab.MONTHS_EN)
-        & ~value.rlike(r"(?U)^\d{1,2}(?:\s|\.\d{1,2}\.\d{2,4})")
-        & ~value.rlike(r"(?U)^[\d\s.,\-]+$")
+        & ~value.rlike(_LEADING_DAY)
+        & ~value.rlike(_NUMBERS_ONLY)
         & ~value.contains("@")
         & ~lowered.contains("http")
         & ~lowered.contains("www.")
-        & ~value.rlike(r"(?U)\.\w{2,3}$")
+        & ~value.rlike(_DOMAIN_END)
         & ~value.rlike(_PHONE_LIKE)
         & ~value.endswith(":")
         & ~has_word(lowered, vocab.POSITION_GARBAGE, ".,;:-()\"'")
-        & ~value.rlike(r"(?U)\b20[1-3]\d\b")
+        & ~value.rlike(_YEAR)
         & ~prose
         & ~has_word(lowered, vocab.NEWS_WORDS, ".,;:-")
     )
