@@ -14,8 +14,12 @@ SHINGLE = 8
 BANDS = 10
 ROWS = 4
 SIMILARITY = 0.8
+#: Similarity that makes two lines one family, inside which all pairs are looked at.
+KIN = 0.5
+#: Lines of a family that one task holds on either side, and bits of a line's shingle map.
+BLOCK, MAP_BITS = 1024, 1024
 #: Characters hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _SALTS = odd_constants(BANDS * ROWS, 31, 32)
 _FACTORS = odd_constants(BANDS * ROWS, 32, 32)
@@ -61,12 +65,47 @@ def _band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def jaccard(a: str, b: str) -> float:
-    """Exact similarity of the shingle sets of two lines."""
-    x = {a[i:i + SHINGLE] for i in range(max(1, len(a) - SHINGLE + 1))}
-    y = {b[i:i + SHINGLE] for i in range(max(1, len(b) - SHINGLE + 1))}
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def shingles(line: str) -> set:
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def jaccard(a: set, b: set) -> float:
+    """Exact similarity of two shingle sets."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+def alike_links(left: list[str], right: list[str], same: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of left x right that connect exactly what all pairs of
+    SIMILARITY connect, fewer than one per line.  `same`: both sides are one list.
+
+    A bit map of hashed shingles bounds the overlap from above (a bit that only
+    one side has is a shingle that only this side has), so only pairs that can be
+    alike, and are not yet connected, are compared as sets.
+    """
+    lines = left if same else left + right
+    sets = [shingles(x) for x in lines]
+    sizes = np.array([len(x) for x in sets])
+    bits = np.zeros((len(lines), MAP_BITS), dtype=np.uint8)
+    for i, x in enumerate(sets):
+        bits[i, [hash(g) % MAP_BITS for g in x]] = 1
+    maps = np.packbits(bits, axis=1).view(np.uint64)
+    first = 0 if same else len(left)
+    label = np.arange(len(lines))
+    pairs = []
+    for i in range(len(left)):
+        start = i + 1 if same else first
+        if start >= len(lines):
+            break
+        need = SIMILARITY / (1 + SIMILARITY) * (sizes[i] + sizes[start:])
+        mine = sizes[i] - np.bitwise_count(maps[i] & ~maps[start:]).sum(axis=1, dtype=np.int64)
+        other = sizes[start:] - np.bitwise_count(maps[start:] & ~maps[i]).sum(axis=1, dtype=np.int64)
+        fit = (np.minimum(mine, other) >= need - 1e-9) & (label[start:] != label[i])
+        for j in np.flatnonzero(fit) + start:
+            if label[j] != label[i] and jaccard(sets[i], sets[j]) >= SIMILARITY:
+                pairs.append((i, int(j) - first))
+                label[label == label[j]] = label[i]
+    return pairs
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -114,9 +153,13 @@ def buckets(lines: DataFrame) -> DataFrame:
 def similar_links(lines: DataFrame) -> DataFrame:
     """(a, b) line ids that connect all lines that share a band key and are SIMILARITY alike.
 
-    First every line of a bucket is compared with the bucket's pick.  What this
-    leaves in different components of one bucket is then compared pair by pair,
-    so no link is lost, and a group of near copies costs one comparison per line.
+    Every line of a bucket is compared with the bucket's pick, and those far from
+    it with a second pick among them.  Lines at least KIN alike form families;
+    where all edges of a family are links, it is connected already.  The others
+    are compared inside the family: each line's text is sent once per pair of
+    blocks of up to BLOCK lines, pairs live and die in the task, and no more links
+    leave it than it has lines.  So a group of near copies makes no rows in the
+    square of its size.
     """
     members = stored(buckets(lines))
     wanted = members.select("id").union(members.select("rep")).distinct()
@@ -124,25 +167,55 @@ def similar_links(lines: DataFrame) -> DataFrame:
         lines.select(line_id(), "norm").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm"))
     )
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        found, known = [], {}
+        for x, y in zip(a, b):
+            if len(known) > 64:  # neighbouring rows often share a line; more would only take memory
+                known.clear()
+            for t in (x, y):
+                if t not in known:
+                    known[t] = shingles(t)
+            found.append(jaccard(known[x], known[y]))
+        return pd.Series(found, dtype=float)
+
+    def measured(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("norm").alias("text_a"))
         right = texts.select(F.col("id").alias("b"), F.col("norm").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").filter(alike("text_a", "text_b")).select("a", "b")
-
-    star = members.filter("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    links = stored(verified(star))
-    label = components(links).select(F.col("node").alias("id"), "component")
-    classes = members.join(label, "id", "left").select("band", "rep", "id", F.coalesce("component", "id").alias("class"))
-    open_bands = classes.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
-    rest = stored(classes.join(open_bands.filter("low < high and n > 2").select("band"), "band").filter("id <> rep"))
-    left = rest.select("band", F.col("id").alias("a"), F.col("class").alias("class_a"))
-    right = rest.select("band", F.col("id").alias("b"), F.col("class").alias("class_b"))
-    apart = left.join(right, "band").filter("a < b and class_a <> class_b").select("a", "b").distinct()
-    return links.union(verified(apart))
+        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", similarity("text_a", "text_b").alias("s")))
+
+    def star(picked: DataFrame) -> DataFrame:
+        ends = [F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")]
+        return picked.filter("id <> rep").select(*ends).distinct()
+
+    near = measured(star(members))
+    far = near.filter(F.col("s") < KIN).select("a", "b")
+    left_out = members.withColumns({"a": F.least("id", "rep"), "b": F.greatest("id", "rep")}).join(far, ["a", "b"], "left_semi")
+    again = left_out.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band"), "id"))["id"].alias("rep"), F.count(F.lit(1)).alias("n"))
+    second = star(left_out.select("band", "id").join(again.filter("n > 1").select("band", "rep"), "band"))
+    near = stored(near.union(measured(second)))
+
+    kin = components(near.filter(F.col("s") >= KIN)).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    loose = near.filter((F.col("s") >= KIN) & (F.col("s") < SIMILARITY)).select(F.col("a").alias("id")).distinct()
+    open_families = kin.join(loose, "id").select("family").distinct()
+    inside = stored(kin.join(open_families, "family").join(texts, "id"))
+    sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    wide = inside.join(sizes.filter("n > 2"), "family").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = (
+        wide.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("id", "norm", "family", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = group["one"].iloc[0], group["two"].iloc[0]
+        left, right = group[group["mine"] == one], group[group["mine"] == two]
+        pairs = alike_links(left["norm"].tolist(), right["norm"].tolist(), one == two)
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        return pd.DataFrame({"a": [a[i] for i, _ in pairs], "b": [b[j] for _, j in pairs]}, dtype="int64")
+
+    found = dealt.groupBy("family", "one", "two").applyInPandas(compare, "a long, b long")
+    return near.filter(F.col("s") >= SIMILARITY).select("a", "b").union(found)
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
