@@ -16,7 +16,9 @@ ROWS = 4
 SIMILARITY = 0.8
 #: Similarity that makes two lines one family, inside which all pairs are looked at.
 KIN = 0.5
-#: Lines of a family that one task holds on either side, and bits of a line's shingle map.
+#: A line SIMILARITY alike to one under KIN to a pick is under this to it (1 - Jaccard keeps the triangle rule).
+REST = KIN + 1 - SIMILARITY + 1e-9
+#: Lines of a group that one task holds on either side, and bits of a line's shingle map.
 BLOCK, MAP_BITS = 1024, 1024
 #: Characters hashed at once.
 CHUNK = 1 << 20
@@ -75,9 +77,11 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def alike_links(left: list[str], right: list[str], same: bool) -> list[tuple[int, int]]:
+def alike_links(left: list[str], right: list[str], same: bool, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) of left x right that connect exactly what all pairs of
     SIMILARITY connect, fewer than one per line.  `same`: both sides are one list.
+    `apart`: a number per line of left (and right, if not `same`); lines of equal
+    number are not compared.
 
     A bit map of hashed shingles bounds the overlap from above (a bit that only
     one side has is a shingle that only this side has), so only pairs that can be
@@ -101,6 +105,8 @@ def alike_links(left: list[str], right: list[str], same: bool) -> list[tuple[int
         mine = sizes[i] - np.bitwise_count(maps[i] & ~maps[start:]).sum(axis=1, dtype=np.int64)
         other = sizes[start:] - np.bitwise_count(maps[start:] & ~maps[i]).sum(axis=1, dtype=np.int64)
         fit = (np.minimum(mine, other) >= need - 1e-9) & (label[start:] != label[i])
+        if apart is not None:
+            fit &= apart[start:] != apart[i]
         for j in np.flatnonzero(fit) + start:
             if label[j] != label[i] and jaccard(sets[i], sets[j]) >= SIMILARITY:
                 pairs.append((i, int(j) - first))
@@ -153,13 +159,16 @@ def buckets(lines: DataFrame) -> DataFrame:
 def similar_links(lines: DataFrame) -> DataFrame:
     """(a, b) line ids that connect all lines that share a band key and are SIMILARITY alike.
 
-    Every line of a bucket is compared with the bucket's pick, and those far from
-    it with a second pick among them.  Lines at least KIN alike form families;
-    where all edges of a family are links, it is connected already.  The others
-    are compared inside the family: each line's text is sent once per pair of
-    blocks of up to BLOCK lines, pairs live and die in the task, and no more links
-    leave it than it has lines.  So a group of near copies makes no rows in the
-    square of its size.
+    Every line of a bucket is compared with the bucket's pick.  Lines at least KIN
+    alike form families; where all edges of a family are links, it is connected
+    already, the others are compared inside the family.  If a line is under KIN to
+    its pick, all lines of the bucket under REST to the pick are compared with each
+    other, except inside one family: two alike lines are both at least KIN alike
+    to the pick, or both under REST.  Either group is compared in pairs of blocks
+    of up to BLOCK lines: each line's text is sent once per pair, pairs live and
+    die in the task, and no more links leave it than it has lines.  So a group
+    makes no rows in the square of its size.  The rest of one bucket that is also
+    the rest of another is compared once.
     """
     members = stored(buckets(lines))
     wanted = members.select("id").union(members.select("rep")).distinct()
@@ -189,32 +198,41 @@ def similar_links(lines: DataFrame) -> DataFrame:
         return picked.filter("id <> rep").select(*ends).distinct()
 
     near = measured(star(members))
-    far = near.filter(F.col("s") < KIN).select("a", "b")
-    left_out = members.withColumns({"a": F.least("id", "rep"), "b": F.greatest("id", "rep")}).join(far, ["a", "b"], "left_semi")
-    again = left_out.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band"), "id"))["id"].alias("rep"), F.count(F.lit(1)).alias("n"))
-    second = star(left_out.select("band", "id").join(again.filter("n > 1").select("band", "rep"), "band"))
-    near = stored(near.union(measured(second)))
-
-    kin = components(near.filter(F.col("s") >= KIN)).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    kin = stored(components(near.filter(F.col("s") >= KIN)).select(F.col("node").alias("id"), F.col("component").alias("family")))
     loose = near.filter((F.col("s") >= KIN) & (F.col("s") < SIMILARITY)).select(F.col("a").alias("id")).distinct()
     open_families = kin.join(loose, "id").select("family").distinct()
-    inside = stored(kin.join(open_families, "family").join(texts, "id"))
-    sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    wide = inside.join(sizes.filter("n > 2"), "family").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    inside = kin.join(open_families, "family").select(F.lit(False).alias("rest"), F.col("family").alias("group"), "id", "family")
+
+    ends = {"a": F.least("id", "rep"), "b": F.greatest("id", "rep")}
+    far = members.filter("id <> rep").withColumns(ends).join(near.filter(F.col("s") < REST), ["a", "b"])
+    far = stored(far.join(kin, "id", "left").select("band", "id", "s", F.coalesce("family", "id").alias("family")))
+    rests = far.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("s").alias("least"), (F.min("family") < F.max("family")).alias("mixed"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("lines"),
+    )
+    rests = rests.filter(F.col("mixed") & (F.col("least") < KIN)).groupBy("lines", "n").agg(F.min("band").alias("band"))
+    others = far.join(rests, "band").select(F.lit(True).alias("rest"), F.col("band").alias("group"), "id", "family")
+
+    groups = stored(inside.union(others))
+    sizes = groups.groupBy("rest", "group").agg(F.count(F.lit(1)).alias("n")).filter("rest or n > 2")
+    wide = groups.join(sizes, ["rest", "group"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = (
-        wide.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        wide.join(texts, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("id", "norm", "family", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+        .select("id", "norm", "rest", "group", "family", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         one, two = group["one"].iloc[0], group["two"].iloc[0]
         left, right = group[group["mine"] == one], group[group["mine"] == two]
-        pairs = alike_links(left["norm"].tolist(), right["norm"].tolist(), one == two)
+        apart = None
+        if group["rest"].iloc[0]:
+            apart = (left if one == two else pd.concat([left, right]))["family"].to_numpy()
+        pairs = alike_links(left["norm"].tolist(), right["norm"].tolist(), one == two, apart)
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         return pd.DataFrame({"a": [a[i] for i, _ in pairs], "b": [b[j] for _, j in pairs]}, dtype="int64")
 
-    found = dealt.groupBy("family", "one", "two").applyInPandas(compare, "a long, b long")
+    found = dealt.groupBy("rest", "group", "one", "two").applyInPandas(compare, "a long, b long")
     return near.filter(F.col("s") >= SIMILARITY).select("a", "b").union(found)
 
 

@@ -210,6 +210,33 @@ def test_leftovers_of_a_bucket_are_compared(spark):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_a_bucket_of_unlike_lines_is_compared_with_all_pairs(spark, monkeypatch, block):
+    """Lines that only share a template stand in one bucket: links connect what all pairs connect."""
+    word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:7]
+    frame = [word("frame", k) for k in range(25)]
+    lines = []
+    for i in range(50):
+        own = [word(i, k) for k in range(15)]
+        lines += [" ".join(frame + own), " ".join(frame + own[:-1] + [word("new", i)])]
+    # lines around KIN to the pick, alike to one on the other side of it
+    for i in range(12, 30):
+        lines.append(" ".join(frame + [word(0, k) for k in range(i - 12)] + [word("side", k) for k in range(15)]))
+    ids = {x: i for i, x in enumerate(lines)}
+    assert len(ids) == len(lines)
+    table = spark.createDataFrame([(x,) for x in lines], "norm string")
+    every = table.select(line_dedup.line_id(), "norm").collect()
+    number = {r["id"]: ids[r["norm"]] for r in every}
+    rep = next(r["id"] for r in every if r["norm"] == lines[0])
+    one = spark.createDataFrame([(1, rep, r["id"]) for r in every], "band long, rep long, id long")
+    monkeypatch.setattr(line_dedup, "buckets", lambda _: one)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    got = [(number[r["a"]], number[r["b"]]) for r in line_dedup.similar_links(table).collect()]
+    sets = [line_dedup.shingles(x) for x in lines]
+    want = [(i, j) for j in range(len(lines)) for i in range(j) if line_dedup.jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(want) > 50 and union(len(lines), got) == union(len(lines), want)
+
+
 # --- SimHash ---------------------------------------------------------------------
 
 def slow_fingerprint(text):
