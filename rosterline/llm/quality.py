@@ -11,14 +11,15 @@ from rosterline.operators.skew import computed_once
 
 #: Relative accuracy of the sketches: neighbouring buckets differ by this factor.
 GAMMA = 1.02
-#: Rows a language and source need for thresholds of their own.
-LEAST_ROWS = 100
-#: Spread assumed at least, per feature, so that a group of alike documents rejects nothing near it.
-LEAST_SPREAD = {"word_length": 0.5, "symbol_share": 0.01, "dup_line_share": 0.03, "repeat_share": 0.05, "upper_share": 0.03}
+#: Rows at which a language and source weighs as much as its language.
+EVEN_ROWS = 100
+#: Spread assumed at least, per feature: it decides only where nine tenths of a group are as good as equal, as
+#: where their share is 0 (then one duplicate line of six, or twelve symbols in a thousand characters, pass).
+LEAST_SPREAD = {"word_length": 0.05, "symbol_share": 0.002, "dup_line_share": 0.03, "repeat_share": 0.005, "upper_share": 0.001}
 #: Bits of a window key that hold its place in the text.
 PLACE_BITS = 28
-#: Distance from the median, in spreads (distance from median to the 75th, or 25th, percentile), that fails.
-WIDTH = 8.0
+#: Distance from the median, in spreads (distance from median to the 90th, or 10th, percentile), that fails.
+WIDTH = 6.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -41,7 +42,7 @@ def quality_counts(docs: DataFrame, columns: list[str] | None = None, text: str
         F.struct(*(columns or ["*"])).alias("row"),
         F.array_remove(F.split(body, SPACE + "+"), "").alias("w"),
         count(F.regexp_count(body, F.lit("[#*$%&|<>]"))).alias("n_symbols"),
-        count(let(full, lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))).alias("n_dup_lines"),
+        let(full, lambda lines: F.struct(F.size(lines).alias("n"), F.size(F.array_distinct(lines)).alias("unlike"))).alias("lines"),
         count(F.regexp_count(body, F.lit("\\p{Lu}"))).alias("n_upper"),
     ), {"w": F.col("w")})
     window = lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))
@@ -65,9 +66,11 @@ def quality_counts(docs: DataFrame, columns: list[str] | None = None, text: str
     return rows.select("row", F.struct(
         count(F.size("w")).alias("n_words"),
         count(F.length(F.array_join("w", ""))).alias("word_chars"),
-        "n_symbols", "n_dup_lines",
+        "n_symbols",
+        count(F.col("lines.n") - F.col("lines.unlike")).alias("n_dup_lines"),
         count(F.size(F.array_distinct(covered))).alias("n_repeat_words"),
         "n_upper",
+        count(F.col("lines.n")).alias("n_lines"),
     ).alias("q"))
 
 
@@ -76,7 +79,7 @@ def features(q: str = "q") -> dict[str, Column]:
     return {
         "word_length": F.col(f"{q}.word_chars") / words,
         "symbol_share": F.col(f"{q}.n_symbols") / F.greatest(F.col(f"{q}.word_chars"), F.lit(1)),
-        "dup_line_share": F.col(f"{q}.n_dup_lines") / words,
+        "dup_line_share": F.col(f"{q}.n_dup_lines") / F.greatest(F.col(f"{q}.n_lines"), F.lit(1)),
         "repeat_share": F.col(f"{q}.n_repeat_words") / words,
         "upper_share": F.col(f"{q}.n_upper") / F.greatest(F.col(f"{q}.word_chars"), F.lit(1)),
     }
@@ -113,24 +116,26 @@ def sketch_quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float
 def adaptive_thresholds(measured: DataFrame, lang: str, source: str, width: float = WIDTH) -> DataFrame:
     """(lang, source, feature, low, high) from sketches of the documents that the base rules keep.
 
-    A group with fewer than LEAST_ROWS such documents takes the thresholds of its
-    language, merged from the sketches of the language's sources.
+    The quantiles of a group are drawn towards those of its language, merged from
+    the sketches of the language's sources: n documents weigh n / (n + EVEN_ROWS).
+    Under ten documents of a language the outer quantiles are its extremes.
     """
     rows = measured.filter(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), "q")
     sketch = stored(quantile_sketch(rows, ["lang", "source"], features()))
-    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    shares = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
     own = sketch_quantiles(sketch, ["lang", "source"], shares)
     merged = sketch.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n"))
     wide = sketch_quantiles(merged, ["lang"], shares).select(
         "lang", "feature", *[F.col(c).alias(f"lang_{c}") for c in shares]
     )
     joined = null_safe(own, wide, ["lang", "feature"], "inner")
-    pick = lambda c: F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).otherwise(F.col(f"lang_{c}"))
+    weight = F.col("rows") / (F.col("rows") + EVEN_ROWS)
+    pick = lambda c: weight * F.col(c) + (1 - weight) * F.col(f"lang_{c}")
     floor = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv]), F.col("feature"))
     return joined.select(
         "lang", "source", "feature",
-        (pick("q50") - width * F.greatest(pick("q50") - pick("q25"), floor)).alias("low"),
-        (pick("q50") + width * F.greatest(pick("q75") - pick("q50"), floor)).alias("high"),
+        (pick("q50") - width * F.greatest(pick("q50") - pick("q10"), floor)).alias("low"),
+        (pick("q50") + width * F.greatest(pick("q90") - pick("q50"), floor)).alias("high"),
     )
 
 

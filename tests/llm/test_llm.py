@@ -509,6 +509,32 @@ def test_quality_keeps_good_documents(docs, spark, sf_dir):
     assert kept.columns == docs.columns
 
 
+def test_verdicts_follow_the_distribution_of_the_group(spark):
+    """The same two documents are kept or not by what their source is like, in large groups and small ones."""
+    rng = np.random.RandomState(4)
+
+    def text(length, symbols, copies=0):
+        words = ["".join(rng.choice(list("abcdefghij"), max(1, int(rng.normal(length, 0.6))))) for _ in range(120)]
+        for i in rng.choice(120, symbols, replace=False):
+            words[i] += "#"
+        lines = [" ".join(words[i:i + 6]) for i in range(0, 120, 6)]
+        return "\n".join(lines[:20 - copies] + lines[:copies])
+
+    rows = []
+    for lang, n in (("x", 300), ("y", 20)):
+        for i in range(n):
+            rows += [(f"{lang}-short-{i}", text(4, 0), lang, "short"), (f"{lang}-long-{i}", text(9, rng.randint(60)), lang + "2", "long")]
+        for source, real in (("short", lang), ("long", lang + "2")):
+            rows += [(f"{source}-{lang}-probe-4", text(4, 0), real, source), (f"{source}-{lang}-probe-9", text(9, 40), real, source)]
+    rows += [("lines", text(4, 0, 4), "x", "short")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality.judge_quality(df, ["doc_id"]).select("row.doc_id", "base_failed", "kept").collect()}
+    for lang in "xy":
+        assert [out[f"{s}-{lang}-probe-{k}"]["kept"] for s in ("short", "long") for k in (4, 9)] == [True, False, False, True]
+    assert not out["lines"]["kept"] and not out["lines"]["base_failed"]
+    assert np.mean([r["kept"] for k, r in out.items() if "probe" not in k and k != "lines"]) > 0.97
+
+
 def test_quality_plan_is_native(docs):
     plan = quality.judge_quality(docs, ["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
