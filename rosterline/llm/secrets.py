@@ -21,8 +21,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: The method's own candidates: long runs of token characters that mix kinds and look random.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 LEAST_BITS = 3.5
-#: A value that more owners than this hold is taken for a published example.
-LIVE_OWNERS = 1
+#: A value is taken for a published example if more than this share of all owners (and more than one) hold it, in
+#: as many repositories of different text, or if more than LIVE_REPOSITORIES of those hold it, whoever owns them.
+LIVE_OWNERS = 0.1
+LIVE_REPOSITORIES = 20
 
 
 def entropy_bits(value: str) -> float:
@@ -87,14 +89,17 @@ def scan_candidates(docs: DataFrame, doc_id: str, text: str, owner: str, reposit
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, owners, repositories) of every candidate value in the corpus.
 
-    Distinct pairs are made before the counts, each combined before its shuffle:
-    a value that stands in a third of all rows costs a row per task.  Null owners
-    and repositories count as one each.
+    Exact copies of a text count as one repository, and so do several texts of
+    one.  Distinct tuples are made before the counts, each combined before its
+    shuffle: a value that stands in a third of all rows costs a row per task.
+    Null owners and repositories count as one each.
     """
-    each = lambda c: F.coalesce(c, F.lit("\0none"))
-    pairs = found.select("hash", each("owner").alias("owner"), each("repository").alias("repository")).distinct()
-    by_owner = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("r"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
+    each = lambda c: F.coalesce(c, F.lit("\0none")).alias(c)
+    tuples = found.select("hash", each("owner"), each("repository"), "__th").distinct()
+    return tuples.groupBy("hash").agg(
+        F.count_distinct("owner").alias("owners"),
+        F.least(F.count_distinct("repository"), F.count_distinct("__th")).alias("repositories"),
+    )
 
 
 def scan_secrets(
@@ -103,11 +108,12 @@ def scan_secrets(
     """Secrets of every document: the digest columns of the query, then verdicts.
 
     `spans` has all base spans and, as kind entropy, random-looking runs whose
-    value at most LIVE_OWNERS owners hold.  n_live counts the spans whose value
-    few owners hold, n_example the widely copied ones, owners the most owners of
-    any value in the document.  Null and empty texts have no spans; repeated rows
-    get equal results (a value repeated by one owner stays owner-specific); other
-    columns are ignored; an empty table gives an empty table.
+    value is live.  n_live counts the spans whose value is live, n_example the
+    widely copied ones, owners the most owners of any value in the document.  A
+    document copied as it is to many owners makes no example; a value in many
+    different documents of one owner is one.  Null and empty texts have no spans;
+    repeated rows get equal results and count once; other columns are ignored; an
+    empty table gives an empty table.
     """
     rows = stored(scan_candidates(docs, doc_id, text, owner, repository))
     each = rows.select("__id", "__th", "owner", "repository", F.explode("found").alias("f")).select(
@@ -115,7 +121,9 @@ def scan_secrets(
     )
     known = ownership(each)
     judged = each.drop("owner", "repository").distinct().join(known, "hash")
-    live = F.col("owners") <= LIVE_OWNERS
+    owners = rows.agg(F.count_distinct(F.coalesce("owner", F.lit("\0none")))).first()[0]
+    wide = F.least("owners", "repositories") > max(1, math.floor(LIVE_OWNERS * owners))
+    live = ~wide & (F.col("repositories") <= LIVE_REPOSITORIES)
     shown = judged.filter((F.col("kind") < 3) | live)
     span = F.struct("start", "kind", "end")
     per = shown.groupBy("__id", "__th").agg(

@@ -479,6 +479,20 @@ def test_copied_values_are_examples(spark):
     assert "entropy" in alone[1]["spans"]
 
 
+def test_repositories_and_owners_decide_together(spark):
+    """A value all over one source is an example; one in few documents of two sources of thirty is live."""
+    wide, copied, pair, spread = (hashlib.sha256(x.encode()).hexdigest()[:15] + "zQ9xK2mV7b" for x in ("w", "c", "p", "s"))
+    rows = [(i, f"filler {i}", f"s{i}") for i in range(30)]
+    rows += [(100 + i, f"note {i} {wide}", "s0") for i in range(40)]
+    rows += [(200 + i, f"the same text {copied}", f"s{i}") for i in range(8)]
+    rows += [(300 + i, f"text {i} {pair}", f"s{i}") for i in range(2)]
+    rows += [(400 + i, f"text {i} {spread}", f"s{i}") for i in range(5)]
+    out = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    verdict = lambda i: (out[i]["n_live"], "entropy" in out[i]["spans"], out[i]["owners"])
+    assert verdict(100) == (0, False, 0) and verdict(400) == (0, False, 0)
+    assert verdict(200) == (1, True, 8) and verdict(300) == (1, True, 2)
+
+
 # --- quality ---------------------------------------------------------------------
 
 def slow_counts(text):
