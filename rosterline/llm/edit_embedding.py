@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import documents, mix64, odd_constants, query
+from rosterline.llm.common import documents, mix64, odd_constants, query, stored
+from rosterline.llm.components import components
 
 #: Segments end where a hash of 8 characters has this many low zero bits, or after LONGEST characters.
 CUT_BITS = 7
@@ -19,6 +20,8 @@ SAMPLED = (1, 5, 8, 12, 17, 21, 26, 30)
 #: Rows of the shared walk table, and character codes it tells apart.
 TABLE, CODES = 4096, 1021
 SLOTS = 64
+#: Least values that make one key of the candidate join, edits allowed as a share of the longer text, texts a task holds on a side.
+ROWS, EDITS, BLOCK = 2, 0.1, 256
 #: Characters embedded at once.
 CHUNK = 1 << 20
 
@@ -39,16 +42,25 @@ def fingerprints(texts: list[str]) -> list[str]:
     turns edits into few differing symbols.  Every STEPS steps the sampled bits
     make a band key, and digit s is the low half byte of the smallest key under
     the s-th hash: two texts agree in a digit as often as they share band keys.
+    The k-th copy of a key in a text counts as a key of its own.  The order of the
+    segments does not enter; `near_texts` verifies it.
     """
-    out, at = [], 0
+    digits = (mix64(least_keys(texts)) & np.uint64(15)).astype(np.uint8)
+    digits[[not t for t in texts]] = 0
+    return [row.tobytes().decode() for row in np.frombuffer(b"0123456789abcdef", dtype=np.uint8)[digits]]
+
+
+def least_keys(texts: list[str]) -> np.ndarray:
+    """The smallest band key of every text under each of SLOTS hashes; zeros for an empty text."""
+    out, at = [np.zeros((0, SLOTS), dtype=np.uint64)], 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
             size += len(texts[end])
             end += 1
-        out += _fingerprints(texts[at:end])
+        out.append(_least_keys(texts[at:end]))
         at = end
-    return out
+    return np.concatenate(out)
 
 
 def _segments(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,9 +82,9 @@ def _segments(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tup
     return at, np.diff(np.append(at, n)), text[at]
 
 
-def _fingerprints(texts: list[str]) -> list[str]:
+def _least_keys(texts: list[str]) -> np.ndarray:
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    digits = np.zeros((len(texts), SLOTS), dtype=np.uint8)
+    out = np.zeros((len(texts), SLOTS), dtype=np.uint64)
     if lengths.sum():
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         at, size, text = _segments(chars, np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
@@ -95,15 +107,16 @@ def _fingerprints(texts: list[str]) -> list[str]:
             going = here < ends
             here, ends, owner = here[going], ends[going], owner[going]
         key, own = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(own, kind="stable")
-        key, own = (key[order] >> np.uint64(32)).astype(np.uint32), own[order]
+        order = np.lexsort((key, own))
+        key, own = key[order], own[order]
+        fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))
+        copy = np.arange(len(key)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        key = (mix64(key + mix64(copy.astype(np.uint64))) >> np.uint64(32)).astype(np.uint32)
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         with np.errstate(over="ignore"):
             for s in range(SLOTS):
-                least = np.minimum.reduceat((key ^ _SALTS[s]) * _FACTORS[s], first)
-                digits[own[first], s] = (mix64(least.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
-    hexes = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)[digits]
-    return [row.tobytes().decode() for row in hexes]
+                out[own[first], s] = np.minimum.reduceat((key ^ _SALTS[s]) * _FACTORS[s], first)
+    return out
 
 
 def likeness(a: str, b: str) -> float:
@@ -118,6 +131,98 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def bounded_distance(a: str, b: str, bound: int) -> int | None:
+    """Exact edit distance of two texts, or None if it is over the bound (Myers' bit vectors)."""
+    if abs(len(a) - len(b)) > bound:
+        return None
+    start, most = 0, min(len(a), len(b))
+    while start < most and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < most - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start:len(a) - end], b[start:len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, []).append(i)
+    size = len(a) // 8 + 1
+    equal = {}
+    for c, at in places.items():
+        bits = np.zeros(size * 8, dtype=np.uint8)
+        bits[at] = 1
+        equal[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for i, c in enumerate(b):
+        eq = equal.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq
+        plus, minus = (down | ~(across | up)) & full, up & across
+        score += bool(plus & top) - bool(minus & top)
+        if score - (len(b) - 1 - i) > bound:
+            return None
+        plus, minus = ((plus << 1) | 1) & full, (minus << 1) & full
+        eq |= down
+        up, down = (minus | ~(eq | plus)) & full, plus & eq
+    return score if score <= bound else None
+
+
+def verified_links(left: list[str], right: list[str], same: bool, edits: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of left x right that connect what all pairs within `edits` connect, fewer than one per text."""
+    texts = left if same else left + right
+    label, first, pairs = np.arange(len(texts)), 0 if same else len(left), []
+    for i in range(len(left)):
+        for j in range(i + 1 if same else first, len(texts)):
+            if label[i] != label[j] and bounded_distance(texts[i], texts[j], int(edits * max(len(texts[i]), len(texts[j])))) is not None:
+                pairs.append((i, j - first))
+                label[label == label[j]] = label[i]
+    return pairs
+
+
+def near_texts(docs: DataFrame, edits: float = EDITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component (a text hash) of every row: texts linked by edit distances of at most `edits` of the longer one.
+
+    Equal texts are folded first.  Candidates share ROWS neighbouring values of
+    `least_keys`; all texts of a key are compared in pairs of blocks of BLOCK, so a
+    group makes no rows in the square of its size, and keys of the same texts are
+    compared once.  Null counts as empty; a text without links is its own component.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+    texts = stored(rows.groupBy("id").agg(F.min("text").alias("text")))
+
+    def keys(batches):
+        for batch in batches:
+            least = least_keys(batch.column(1).to_pylist())
+            band = np.zeros((len(least), SLOTS // ROWS), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for s in range(SLOTS):
+                    band[:, s // ROWS] = mix64(band[:, s // ROWS] + least[:, s] + np.uint64(s + 1))
+            own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), band.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(band.reshape(-1).view(np.int64))], names=["id", "band"])
+
+    banded = stored(texts.filter("text <> ''").mapInArrow(keys, "id long, band long").distinct())
+    sets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
+    once = sets.filter("n > 1").groupBy("n", "ids").agg(F.min("band").alias("band"))
+    dealt = (
+        banded.join(once.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").join(texts, "id")
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("id", "text", "band", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = group["one"].iloc[0], group["two"].iloc[0]
+        left, right = group[group["mine"] == one], group[group["mine"] == two]
+        pairs = verified_links(left["text"].tolist(), right["text"].tolist(), one == two, edits)
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        return pd.DataFrame({"a": [a[i] for i, _ in pairs], "b": [b[j] for _, j in pairs]}, dtype="int64")
+
+    links = stored(dealt.groupBy("band", "one", "two").applyInPandas(compare, "a long, b long").distinct())
+    known = components(links).select(F.col("node").alias("id"), "component")
+    return rows.select("doc_id", "id").join(known, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+
+
 def neighbour_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next document's.
 

@@ -405,6 +405,39 @@ def test_fingerprint_likeness_falls_with_the_edit_distance():
     assert edit_embedding.fingerprints(some) == [edit_embedding.fingerprints([t])[0] for t in some]
 
 
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_near_texts_are_verified_by_edit_distance(spark):
+    rng = np.random.RandomState(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abc"), rng.randint(0, 24))) for _ in range(2))
+        d = slow_distance(a, b)
+        assert edit_embedding.bounded_distance(a, b, 30) == d
+        assert edit_embedding.bounded_distance(a, b, d) == d and edit_embedding.bounded_distance(a, b, d - 1) is None
+    texts = []
+    for i in range(8):
+        base = "\n".join(line(100 * i + k) for k in range(12))
+        half = len(base) // 2
+        texts += [base, base[:half] + "edit" + base[half + 2:], base[half:] + base[:half]]
+    texts += ["", None, texts[0]]
+    rows = edit_embedding.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    label = {r["doc_id"]: r["component"] for r in rows}
+    assert len(label) == len(texts) and label[0] == label[26] and label[24] == label[25]
+    assert all(label[3 * i] == label[3 * i + 1] != label[3 * i + 2] for i in range(8)) and len(set(label.values())) == 17
+    # how often a passage stands in a text counts
+    passage = "\n".join(line(k) for k in range(20)) + "\n"
+    once, often = edit_embedding.fingerprints([passage, passage * 50])
+    assert edit_embedding.likeness(once, often) < 0.2
+
+
 # --- toxicity --------------------------------------------------------------------
 
 def test_maximal_segments_against_all_segments():
