@@ -1,8 +1,9 @@
 """Op 5: license scans by diagonal voting."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.llm.common import ByteWords, documents, mix64, null_safe, query, row_key, text_chunks
@@ -102,8 +103,9 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id
     """(__id, __th, template, first, last, cover): verified alignments of templates.
 
     All rolling word k-grams are joined to the template places, votes are counted per offset
-    diagonal, diagonals closer than DRIFT that touch in the text are merged, and
-    an alignment stands if its votes cover COVER of the template's words inside a
+    diagonal, neighbouring diagonals up to DRIFT apart are merged until one is a
+    complete placement of its own or the span would pass the bound below, and an
+    alignment stands if its votes cover COVER of the template's words inside a
     span at most half as long again as the template.
     """
     votes = document_grams(docs, doc_id, text).join(template_grams(docs.sparkSession, templates), "gram")
@@ -111,9 +113,25 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id
     key = ["__id", "__th", "template", "n"]
     # A diagonal is one placement of the template: its votes lie within n words
     placed = votes.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
-    along = Window.partitionBy(*key).orderBy("diagonal", "first")
-    fresh = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int")
-    grouped = placed.withColumn("alignment", F.sum(F.coalesce(fresh, F.lit(0))).over(along))
+
+    @F.pandas_udf("array<int>")
+    def alignments(n: pd.Series, diagonal: pd.Series, first: pd.Series, last: pd.Series, votes: pd.Series) -> pd.Series:
+        """The number of the alignment of every diagonal."""
+        out = []
+        for words, *columns in zip(n, diagonal, first, last, votes):
+            numbers, number, before, start, end = [], -1, None, 0, 0
+            for d, f, t, v in zip(*columns):
+                far = before is None or d - before > DRIFT
+                if far or v == words - GRAM + 1 or max(end, t) + GRAM - min(start, f) > 1.5 * words + GRAM:
+                    number, start, end = number + 1, f, t
+                start, end, before = min(start, f), max(end, t), d
+                numbers.append(number)
+            out.append(numbers)
+        return pd.Series(out, dtype=object)
+
+    listed = placed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("diagonal", "first", "last", "places"))).alias("p"))
+    listed = listed.withColumn("a", alignments("n", "p.diagonal", "p.first", "p.last", F.transform("p", lambda x: F.size(x["places"]))))
+    grouped = listed.select(*key, F.explode(F.arrays_zip("a", "p")).alias("z")).select(*key, F.col("z.a").alias("alignment"), "z.p.*")
     spans = grouped.groupBy(*key, "alignment").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first"),
         (F.max("last") + GRAM - 1).alias("last"),

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rosterline.llm import edit_embedding, licenses, line_dedup, mixing, packing, quality, secrets, sharding, simhash, toxicity
@@ -324,6 +325,15 @@ def test_license_spans_with_gaps(spark):
     assert rows[3]["labels"] == "" and rows[3]["score"] == 0 and rows[1]["score"] == 1
 
 
+def test_a_repeated_notice_is_found_however_often_it_stands(spark):
+    notice = {"reserved": "all rights reserved"}
+    df = spark.createDataFrame([(k, "x " + "All rights reserved. " * k + "y") for k in (1, 2, 3, 100)], "doc_id long, text string")
+    spans = licenses.license_spans(df, notice).select(F.col("__id").alias("id"), "first", "last", "cover").collect()
+    for k in (1, 2, 3, 100):
+        assert sorted((r["first"], r["last"]) for r in spans if r["id"] == k) == [(1 + 3 * i, 3 + 3 * i) for i in range(k)]
+    assert all(r["cover"] == 1 for r in spans)
+
+
 # --- mixing ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("table", ["docs", "odd", "empty"])
