@@ -15,21 +15,44 @@ CAPACITY = 4096
 END = 1
 #: A pattern fills a sequence, a quarter of one or a sixteenth; the smaller ones stand as often in a sequence.
 SHARES = (1, 4, 16)
+#: ASCII signs that end a word, without the apostrophe.
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 #: Rounds of the least-squares fit; a fit ends earlier when no pattern lowers the error by much.
 ROUNDS = 30
 
 
+def parts(word: bytes) -> tuple[bytes, bytes]:
+    """A run without white space as (body, closing signs), in lower case: encoded apart they give the ids of the run.
+
+    The tokenizer lowers letters and starts anew between a letter or digit and a
+    sign.  Apostrophes, which may begin a contraction, and runs that may hold the
+    name of a special token are left as they are.
+    """
+    if b"<|" in word:
+        return word, b""
+    word = word.lower()
+    body = word.rstrip(_SIGNS)
+    letter = body[-1:].isalnum() or (body[-2:-1] == b"\xc3" and body[-1:] not in (b"\x97", b"\xb7"))
+    return (body, word[len(body):]) if letter else (word, b"")
+
+
 def word_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of every whole text and `end`, cut only where over `capacity`.
 
     The tokenizer drops white space and never joins what it separates, so ids are
-    found per distinct run of other characters and kept by the worker.
+    found per distinct run of other characters and kept by the worker; a run is
+    taken apart once more (see `parts`), as words come with many endings.
     """
 
     def encoded(words: list) -> list:
         found = bpe(tokenizer).encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def joined(words: list) -> list:
+        cut = [parts(w) for w in words]
+        known = remembered(memory("parts", tokenizer), [p for pair in cut for p in pair], encoded)
+        return [known[body] + known[tail] for body, tail in cut]
+
     def cut(batches):
         known, last, step = memory("ids", tokenizer), np.array([end], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
@@ -37,7 +60,7 @@ def word_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id
             for low, high in text_chunks(texts):
                 rows, numbers, starts, lengths, sums = [], [], [], [], []
                 words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[low:high]]
-                remembered(known, [w for some in words for w in some], encoded)
+                remembered(known, [w for some in words for w in some], joined)
                 for i, some in enumerate(words):
                     data = b"".join([known[w] for w in some]) + last
                     for number, at in enumerate(range(0, len(data), step)):
