@@ -7,6 +7,7 @@ subsequence.  Spark's levenshtein is another measure.
 import sys
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -123,6 +124,52 @@ def dictionary_lookup(dictionary: dict[str, str], cutoff: float = 75.0):
     return lookup
 
 
+class Entries:
+    """Sorted-token texts of a dictionary, scored against one text all at once.
+
+    Texts of up to 64 characters are one machine word each: the bit state of the
+    common subsequence is kept for all of them in one array and moves by one
+    character of the asked text per step.  Longer texts are scored one by one.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.widths = np.array([len(t) for t in texts], dtype=np.int64)
+        short = np.flatnonzero(self.widths <= 64)
+        alphabet = sorted({c for i in short for c in texts[i]})
+        self.rows = {c: i for i, c in enumerate(alphabet)}
+        self.masks = np.zeros((len(alphabet) + 1, len(texts)), dtype=np.uint64)
+        for i in short:
+            for place, char in enumerate(texts[i]):
+                self.masks[self.rows[char], i] |= np.uint64(1 << place)
+        self.full = np.array([(1 << min(int(w), 64)) - 1 for w in self.widths], dtype=np.uint64)
+        self.long = {int(i): _masks(texts[i]) for i in np.flatnonzero(self.widths > 64)}
+
+    def scores(self, text: str, chosen: np.ndarray) -> np.ndarray:
+        """ratio of the text with the chosen entries (numbers)."""
+        full = self.full[chosen]
+        state = full.copy()
+        for char in text:
+            hit = state & self.masks[self.rows.get(char, len(self.rows)), chosen]
+            state = ((state + hit) | (state - hit)) & full
+        common = self.widths[chosen] - np.bitwise_count(state).astype(np.int64)
+        for place, i in enumerate(chosen.tolist()):
+            if i in self.long:
+                common[place] = _lcs(self.long[i], int(self.widths[i]), text)
+        total = self.widths[chosen] + len(text)
+        return np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+
+    def best(self, text: str, cutoff: float) -> tuple[int, float] | None:
+        """The first entry of the highest score that reaches the cutoff; lengths that rule it out are not scored."""
+        widths = self.widths
+        able = np.flatnonzero(200.0 * np.minimum(widths, len(text)) >= cutoff * (widths + len(text)))
+        if len(able) == 0:
+            return None
+        scores = self.scores(text, able)
+        top = int(np.argmax(scores))
+        return (int(able[top]), float(scores[top])) if scores[top] >= cutoff else None
+
+
 def position_dictionary() -> dict[str, str]:
     """Russian entries before English ones, in dictionary order."""
     return {**vocab.POSITIONS_RU, **{k: v for k, v in vocab.POSITIONS_EN.items() if k not in vocab.POSITIONS_RU}}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rosterline.functions.entities import labelled_inn, labelled_kpp
 from rosterline.functions.fields import strict_inn
 from rosterline.functions.text import empty_to_null, strip_ws
-from rosterline.operators.skew import earliest, first_by, running_before, spread_join
+from rosterline.operators.site_keys import join_sites
+from rosterline.operators.skew import earliest, running_before, spread_join
 from rosterline.schemas import CONTACT_ORDER
 
 
@@ -18,26 +19,25 @@ def _fill(column: str, source: Column) -> Column:
 
 
 def site_defaults(contacts: DataFrame, sites: DataFrame) -> DataFrame:
-    """Left join with the site list (first entry per URL): adds site_company and
-    site_inn."""
-    first = first_by(sites, [F.col("url")], ["site_ord"]).select(
-        F.col("url").alias("site_url"),
-        empty_to_null(F.col("company_name")).alias("site_company"),
-        empty_to_null(F.col("inn")).alias("site_inn"),
-    )
-    return spread_join(contacts, first, ["site_url"], "left", CONTACT_ORDER)
+    """Left join with the site list, by the longest listed host and path that the
+    contact's page lies under: adds site_company and site_inn."""
+    return join_sites(contacts, sites, "left", "source_url", "site_url", CONTACT_ORDER).drop("listed_url", "listed_ord")
 
 
-def apply_input_company(contacts: DataFrame, sites: DataFrame) -> DataFrame:
+def input_company_wins(joined: DataFrame) -> DataFrame:
     """The site list wins over the page: company always, INN where given.  A
     company found on the page with less than three letters becomes empty."""
-    joined = site_defaults(contacts, sites)
     found = F.coalesce(F.col("company_name"), F.lit(""))
     company = F.coalesce(F.col("site_company"), F.when(F.length(found) >= 3, found).otherwise(""))
     return joined.withColumns({
         "company_name": company,
         "inn": strict_inn(F.coalesce(F.col("site_inn"), F.col("inn"))),
-    }).select(contacts.columns)
+    })
+
+
+def apply_input_company(contacts: DataFrame, sites: DataFrame) -> DataFrame:
+    """Company and INN of the listed site on every contact; contacts of unlisted sites stay as found."""
+    return input_company_wins(site_defaults(contacts, sites)).select(contacts.columns)
 
 
 def _propagate(contacts: DataFrame, fields: list[str]) -> DataFrame:

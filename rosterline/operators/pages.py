@@ -1,5 +1,6 @@
 """Page level operators: which pages are kept, and the links between them."""
 
+import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from rosterline.functions.html import contact_links, has_captcha, page_links
 from rosterline.functions.text import strip_ws
 from rosterline.functions.urls import normalize_url, url_host, url_path
-from rosterline.operators.skew import exploded, first_by, spread_join
-from rosterline.session import cut_lineage
+from rosterline.operators.skew import exploded, first_by, running_before, spread_join
+from rosterline.session import checkpoint_root, cut_lineage
 
 
 def drop_captcha_pages(pages: DataFrame, head_chars: int = 5000) -> DataFrame:
@@ -29,20 +30,14 @@ def first_pages(keys: DataFrame) -> DataFrame:
     return named.groupBy("site_url", "_url").agg(F.min("page_ord").alias("page_ord")).select("site_url", "page_ord")
 
 
-def dedup_pages(pages: DataFrame, keep_keys: bool = False) -> DataFrame:
-    """One page per site and normalised URL, the first by page_ord.
+def dedup_pages(pages: DataFrame) -> DataFrame:
+    """Keys of one page per site and normalised URL, the first by page_ord: all columns but the html.
 
-    Only keys are grouped.  The repeats they reveal are removed by page_ord, so
-    the html is not shuffled while the repeats are few enough to broadcast.
-    The keys are used twice; keep_keys checkpoints them, which pays off when
-    `pages` is filtered by its html and each use would scan that again.
+    The html stays where it is: a reader joins these keys, which are narrow, with
+    what it made of the pages (see plans/contacts.py).
     """
-    keys = pages.select("site_url", "page_ord", normalize_url(F.col("page_url")).alias("_url"))
-    if keep_keys:
-        keys = cut_lineage(keys)
-    firsts = keys.groupBy("site_url", "_url").agg(F.min("page_ord").alias("page_ord"))
-    repeats = keys.join(firsts.select("site_url", "page_ord"), ["site_url", "page_ord"], "left_anti")
-    return pages.join(repeats.select("site_url", "page_ord"), ["site_url", "page_ord"], "left_anti")
+    keys = pages.drop("html")
+    return keys.join(first_pages(keys), ["site_url", "page_ord"], "left_semi")
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
@@ -67,13 +62,18 @@ def cap_pages_per_site(candidates: DataFrame, order: list[str], limit: int) -> D
 
 
 def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pages reached from the start pages over contact links, breadth first.
-
-    A page's place is the path of link ranks that led to it: sorting by depth
-    and path is the order in which a queue would have visited it.  Every hop is
-    one join over all sites; the loop ends when no site gains a page.  With a
-    limit a site keeps its first `limit` pages, which takes at most that many hops.
+    """Pages reached from the start pages over contact links, breadth first:
+    site_url, url, page_ord, depth and visit (from 0, the order in which a queue
+    would have come to them).
+
+    A page of the next level is placed by the visit number of the page that led to
+    it and the link's place there; those pairs are ranked per site with
+    running_before, so a level of any size needs no path and no single task.  A hop
+    writes its new pages only, to a folder of its own beside the earlier ones.  The
+    loop ends when no site gains a page.  With a limit a site keeps its first
+    `limit` pages, which takes at most that many hops.
     """
+    spark = pages.sparkSession
     stored = pages.select(
         "site_url", "page_ord", normalize_url(F.col("page_url")).alias("url"),
         contact_links(page_links(F.col("html"), F.col("page_url"))).alias("links"),
@@ -81,34 +81,41 @@ def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int | None
     stored = cut_lineage(first_by(stored, [F.col("site_url"), F.col("url")], ["page_ord"]))
     edges = stored.select("site_url", F.col("url").alias("from_url"), F.posexplode("links").alias("rank", "url"))
     known = stored.select("site_url", "url", "page_ord")
+    root = f"{checkpoint_root(spark)}/frontier-{uuid.uuid4().hex}"
+    schema = f"site_url string, url string, page_ord {dict(pages.dtypes)['page_ord']}, depth long, visit long"
+
+    def write(found: DataFrame, bases: DataFrame | None, depth: int) -> DataFrame:
+        """The new pages of a hop, numbered behind those of their site so far."""
+        placed = running_before(found, ["site_url"], ["parent", "rank"], F.lit(1), None, "place")
+        if bases is None:
+            placed = placed.withColumn("visit", F.col("place").cast("long"))
+        else:
+            placed = spread_join(placed, bases, ["site_url"], "inner", ["url"]).withColumn("visit", F.col("place") + F.col("base"))
+        if limit is not None:
+            placed = placed.filter(F.col("visit") < limit)
+        rows = placed.select("site_url", "url", "page_ord", F.lit(depth).cast("long").alias("depth"), "visit")
+        rows.write.parquet(f"{root}/hop={depth}")
+        return spark.read.schema(schema).parquet(f"{root}/hop={depth}")
 
-    path = F.array(F.lit(0))
     first = starts.select("site_url", normalize_url(F.col("url")).alias("url")).distinct()
-    visited = cut_lineage(
-        first.join(known, ["site_url", "url"]).select(
-            "site_url", "url", "page_ord", F.lit(0).alias("depth"), path.alias("path")
-        )
-    )
-    frontier = visited
+    first = first.join(known, ["site_url", "url"]).withColumns({"parent": F.lit(0).cast("long"), "rank": F.col("page_ord")})
+    frontier = write(first, None, 0)
     for depth in count(1) if limit is None else range(1, limit):
+        if frontier.isEmpty():
+            break
+        visited = spark.read.schema(schema).parquet(root)
+        bases = frontier.groupBy("site_url").agg((F.max("visit") + 1).alias("base"))
         reached = (
-            frontier.select("site_url", F.col("url").alias("from_url"), "path")
+            frontier.select("site_url", F.col("url").alias("from_url"), F.col("visit").alias("parent"))
             .join(edges, ["site_url", "from_url"])
             .groupBy("site_url", "url")
-            .agg(F.min(F.concat("path", F.array("rank"))).alias("path"))
+            .agg(F.min(F.struct("parent", "rank")).alias("by"))
             .join(visited.select("site_url", "url"), ["site_url", "url"], "left_anti")
             .join(known, ["site_url", "url"])
-            .select("site_url", "url", "page_ord", F.lit(depth).alias("depth"), "path")
+            .select("site_url", "url", "page_ord", "by.parent", "by.rank")
         )
-        kept = visited.unionByName(reached)
-        if limit is not None:
-            place = F.row_number().over(Window.partitionBy("site_url").orderBy("depth", "path"))
-            kept = kept.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
-        visited = cut_lineage(kept)
-        frontier = visited.filter(F.col("depth") == depth)
-        if frontier.isEmpty():
-            break
-    return visited.select("site_url", "url", "page_ord", F.col("depth").cast("long").alias("depth"), "path")
+        frontier = write(reached, bases, depth)
+    return spark.read.schema(schema).parquet(root)
 
 
 def robots_rules(content: Column, agents: tuple[str, ...] = ("*", "rosterline")) -> Column:
@@ -131,11 +138,12 @@ def robots_rules(content: Column, agents: tuple[str, ...] = ("*", "rosterline"))
 
 
 def robots_filter(pages: DataFrame, robots: DataFrame, agents: tuple[str, ...] = ("*", "rosterline")) -> DataFrame:
-    """Pages whose path no rule of their host forbids; no rules, no limit.
+    """Keys of the pages whose path no rule of their host forbids; no rules, no limit.
 
-    `robots` holds one file per host: columns host and content."""
+    `robots` holds one file per host: columns host and content.  All columns but
+    the html are kept, so no html is shuffled (see dedup_pages)."""
     rules = robots.select(F.lower("host").alias("_host"), robots_rules(F.col("content"), agents).alias("_rules"))
-    hosted = pages.withColumn("_host", url_host(F.col("page_url")))
+    hosted = pages.drop("html").withColumn("_host", url_host(F.col("page_url")))
     joined = spread_join(hosted, rules, ["_host"], "left", ["page_ord", "page_url"])
     path = F.when(url_path(F.col("page_url")) == "", F.lit("/")).otherwise(url_path(F.col("page_url")))
     forbidden = F.exists("_rules", lambda r: F.startswith(path, r))

@@ -6,14 +6,24 @@ from pyspark.sql import functions as F
 from rosterline.functions.answers import json_array_from_text
 from rosterline.functions.text import empty_to_null
 from rosterline.operators.enrich import contact_index
+from rosterline.operators.site_keys import match_sites
 
 
 def _or_dash(column: str) -> Column:
     return F.coalesce(empty_to_null(F.col(column)), F.lit("-"))
 
 
-def correction_prompts(contacts: DataFrame, contacts_per_part: int = 500) -> DataFrame:
-    """Numbered contact lines of every site, joined into prompt texts.
+#: What is asked about a table of contacts; a parameter of the prompts.
+CORRECTION_TASK = (
+    "Проверь строки таблицы. Для каждой верни объект с полями idx, company_name, full_name, position, personal_email, company_email, phone."
+    " Чего нет или что неверно, то null; у строки не о человеке null в full_name. Общие ящики пиши в company_email. Ответ: массив JSON."
+)
+
+
+def correction_prompts(
+    contacts: DataFrame, sites: DataFrame | None = None, contacts_per_part: int = 500, task: str = CORRECTION_TASK
+) -> DataFrame:
+    """Prompt texts per site: its URL, its company in the site list, the task, numbered contact lines.
 
     A site has one part up to `contacts_per_part` contacts; a larger site goes
     on in further parts with running numbers, so no row grows without limit.
@@ -25,10 +35,19 @@ def correction_prompts(contacts: DataFrame, contacts_per_part: int = 500) -> Dat
     part = F.floor((F.col("idx") - 1) / contacts_per_part).cast("long")
     lines = contact_index(contacts).select("site_url", part.alias("part"), "idx", line.alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "line")))
-    return lines.groupBy("site_url", "part").agg(
-        F.count("*").alias("n_contacts"),
-        F.array_join(F.transform(ordered, lambda s: s.line), "\n").alias("prompt"),
+    parts = lines.groupBy("site_url", "part").agg(
+        F.count("*").alias("n_contacts"), F.array_join(F.transform(ordered, lambda s: s.line), "\n").alias("lines")
+    )
+    if sites is None:
+        parts = parts.withColumn("site_company", F.lit(None).cast("string"))
+    else:
+        listed = match_sites(parts.select("site_url", F.col("site_url").alias("_same")), sites, "_same", "site_url")
+        parts = parts.join(listed.select("site_url", "site_company"), "site_url", "left")
+    prompt = F.concat(
+        F.lit("Сайт: "), "site_url", F.lit("\nКомпания (из входного файла): "), F.coalesce("site_company", F.lit("")),
+        F.lit(f"\n\n{task}\n\nТаблица:\n"), "lines",
     )
+    return parts.select("site_url", "part", "n_contacts", prompt.alias("prompt"))
 
 
 def page_prompts(pages: DataFrame, targets: list[str] | None = None, part_chars: int = 12288) -> DataFrame:

@@ -83,34 +83,58 @@ def ui_category_counts(contacts: DataFrame) -> DataFrame:
     return grouped.select(F.coalesce("category", F.lit("all")).alias("category"), "n")
 
 
-def statistics_table(sites: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Section, label and value: total, per category, per site."""
+# Labels of the task rows, in their order: fixed values.
+TASK_LABELS = [
+    "Дата создания задачи", "Дата завершения", "Режим парсинга", "Вариант извлечения", "Ошибок", "Просмотрено страниц",
+    "Время выполнения", "Токенов LLM использовано", "Переключений на Вариант A",
+]
+
+
+def _task_rows(task: DataFrame) -> DataFrame:
+    """The rows of one task: created_at, finished_at, mode, variant, errors, total_pages,
+    elapsed_seconds, llm_tokens_used, fallback_count.  No time without elapsed
+    seconds, no token rows but for variant B."""
+    stamp = lambda c: F.date_format(c, "dd.MM.yyyy HH:mm:ss")
+    text = lambda c: F.col(c).cast("string")
+    seconds, by_model = F.floor("elapsed_seconds"), F.col("variant") == "B"
+    spent = F.concat(F.floor(seconds / 60).cast("string"), F.lit(" мин "), (seconds % 60).cast("string"), F.lit(" сек"))
+    values = [
+        stamp("created_at"), F.coalesce(stamp("finished_at"), F.lit("—")), F.concat(F.lit("Режим "), text("mode")), F.col("variant"),
+        text("errors"), text("total_pages"), F.when(F.col("elapsed_seconds") > 0, spent), F.when(by_model, text("llm_tokens_used")),
+        F.when(by_model, text("fallback_count")),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(zip(TASK_LABELS, values))])
+    shown = task.select(F.inline(rows)).filter("value is not null")
+    return shown.select(F.lit("task").alias("section"), "label", "value", F.col("place").cast("long"))
+
+
+def statistics_table(sites: DataFrame, contacts: DataFrame, task: DataFrame | None = None) -> DataFrame:
+    """section, label and value (text): the task if given, the total, per category, per site; largest first."""
     categorised = with_category(contacts)
-    total = contacts.agg(F.count("*").alias("value")).select(
-        F.lit("total").alias("section"), F.lit("Итого контактов").alias("label"), "value"
-    )
-    by_category = category_counts(categorised).select(
-        F.lit("category").alias("section"), F.col("category").alias("label"), F.col("n").alias("value")
-    )
-    by_site = site_counts(sites, contacts).select(
-        F.lit("site").alias("section"), F.col("site_url").alias("label"), F.col("n").alias("value")
-    )
-    return total.unionByName(by_category).unionByName(by_site).orderBy("section", F.desc("value"), "label")
 
+    def counted(section: str, rows: DataFrame, label: Column, n: str) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), label.alias("label"), F.col(n).cast("string").alias("value"), (-F.col(n)).alias("place"))
 
-def site_summary(pages: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
-    """Pages, and contacts if given, per site."""
+    out = counted("total", contacts.agg(F.count("*").alias("n")), F.lit("Итого контактов"), "n")
+    out = out.unionByName(counted("category", category_counts(categorised), F.col("category"), "n"))
+    out = out.unionByName(counted("site", site_counts(sites, contacts), F.col("site_url"), "n"))
+    if task is not None:
+        out = out.unionByName(_task_rows(task))
+    sections = F.array(*map(F.lit, ("task", "total", "category", "site")))
+    return out.orderBy(F.array_position(sections, F.col("section")), "place", "label").drop("place")
+
+
+def site_summary(pages: DataFrame, contacts: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """Pages, and contacts and errors if given, per site; each is counted before they are put together."""
     out = pages.groupBy("site_url").agg(F.count("*").alias("n_pages"))
-    if contacts is None:
-        return out
-    counts = contacts.groupBy("site_url").agg(F.count("*").alias("n_contacts"))
-    return out.join(counts, "site_url", "full").select(
-        "site_url", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_contacts", F.lit(0)).alias("n_contacts")
-    )
+    for name, rows in (("n_contacts", contacts), ("n_errors", errors)):
+        if rows is not None:
+            out = out.join(rows.groupBy("site_url").agg(F.count("*").alias(name)), "site_url", "full")
+    return out.select("site_url", *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c != "site_url"])
 
 
-def site_log_table(sites: DataFrame, pages: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Site, pages read and a status line."""
+def site_log_table(sites: DataFrame, pages: DataFrame, contacts: DataFrame, at: Column | None = None) -> DataFrame:
+    """Time, site, pages read and a status line; `at` is the time of the log, now by default."""
     n_pages = pages.groupBy("site_url").agg(F.count("*").alias("n_pages"))
     n = F.col("n").cast("string")
     status = F.concat(
@@ -118,7 +142,10 @@ def site_log_table(sites: DataFrame, pages: DataFrame, contacts: DataFrame) -> D
     )
     return (
         site_counts(sites, contacts).join(n_pages, "site_url", "left")
-        .select("site_url", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), status.alias("status"))
+        .select(
+            scan_date_text(F.current_timestamp() if at is None else at).alias("time"), "site_url",
+            F.coalesce("n_pages", F.lit(0)).alias("n_pages"), status.alias("status"),
+        )
     )
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterline.session import cut_lineage
+
 
 def exploded(df: DataFrame, keep: list[str], array: Column, place: str, value: str) -> DataFrame:
     """One row per element of a computed array, with its place.
@@ -57,24 +59,35 @@ def spread_join(
 
 
 def running_before(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, block: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], value: Column, block: Column | None, name: str
 ) -> DataFrame:
     """Sum of `value` over the earlier rows of the same key.
 
     A plain running window puts a whole key into one task.  Here a key is cut
     into blocks that follow the order: totals per block are summed ahead, then
     the window runs inside single blocks.  `block` must not decrease along
-    `order`.
+    `order`; without one the rows are sorted into ranges of keys and order, whose
+    limits Spark samples, and written once, so a key with all rows is spread over
+    as many ranges as there are shuffle partitions.  Null keys are one key.
     """
-    with_block = df.withColumn("_block", block).withColumn("_value", value)
+    if block is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.withColumn("_value", value).repartitionByRange(ranges, *keys, *order)
+        with_block = cut_lineage(dealt.withColumn("_block", F.spark_partition_id()))
+    else:
+        with_block = df.withColumn("_block", block).withColumn("_value", value)
     totals = with_block.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
     ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_block", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead")
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of_block"),
+        F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"),
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = with_block["_block"] == offsets["_of_block"]
+    for k in keys:
+        same = same & with_block[k].eqNullSafe(offsets[f"_of_{k}"])
     return (
-        with_block.join(offsets, [*keys, "_block"])
+        with_block.join(offsets, same)
         .withColumn(name, F.col("_ahead") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_block", "_value", "_ahead")
+        .drop("_block", "_value", "_ahead", "_of_block", *[f"_of_{k}" for k in keys])
     )

@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.operators.skew import running_before
+from rosterline.operators.skew import running_before, spread_join
 from rosterline.schemas import TASK_STATUS
+from rosterline.session import cut_lineage
 
 
 def task_totals(tasks: DataFrame) -> DataFrame:
@@ -65,16 +66,19 @@ def token_usage(calls: DataFrame, budget: int = 1_000_000) -> DataFrame:
 
 
 def token_budget_cutoff(
-    calls: DataFrame, session: list[str], order: list[str], block: Column, budget: int = 1_000_000
+    calls: DataFrame, session: list[str], order: list[str], block: Column | None = None, budget: int = 1_000_000
 ) -> DataFrame:
     """Adds used_before and refused: a request is refused once the requests
     before it have used up the budget of its session.  Refused requests use
-    nothing, so used_before stays at what was used when the budget ran out."""
+    nothing, so used_before stays at what was used when the budget ran out.
+
+    Sessions are cut into sampled ranges of the order, or by `block`.  The running
+    totals are written once and read for the rows and for the ends of budgets."""
     spent = F.col("tokens_prompt") + F.col("tokens_completion")
-    out = running_before(calls, session, order, spent, block, "used_before")
+    out = cut_lineage(running_before(calls, session, order, spent, block, "used_before"))
     over = F.col("used_before") >= budget
     ends = out.filter(over).groupBy(*session).agg(F.min("used_before").alias("_end"))
-    joined = out.join(ends, session, "left").withColumn("used_before", F.when(over, F.col("_end")).otherwise(F.col("used_before")))
+    joined = spread_join(out, ends, session, "left", order).withColumn("used_before", F.when(over, F.col("_end")).otherwise(F.col("used_before")))
     return joined.drop("_end").withColumn("refused", over).withColumn(
         "reason", F.when(F.col("refused"), "token_budget_exhausted")
     )
@@ -84,11 +88,12 @@ def fallback_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def progress_track(steps: DataFrame, order: list[str], block: Column) -> DataFrame:
+def progress_track(steps: DataFrame, order: list[str], block: Column | None = None) -> DataFrame:
     """Progress of every task after each processed site.
 
     steps: task_id, total_sites, elapsed_seconds and the order columns; percent
     is processed / total, rate is sites per second, eta is remaining / rate.
+    Tasks are cut into sampled ranges of the order, or by `block`.
     """
     out = running_before(steps, ["task_id"], order, F.lit(1), block, "_before")
     out = out.withColumn("processed", (F.col("_before") + 1).cast("long")).drop("_before")

@@ -100,6 +100,31 @@ SITE_SQL = {
     "inn": pick("s_suppkey", ["7707083893", None, "bad", "500100732259"]),
 }
 
+# a site list as people write it: other case, ports, paths, queries, closing slashes, sites that no page has
+_N = "CAST(s_suppkey - 1 AS STRING)"
+LISTED_SITE_SQL = {
+    "site_ord": "s_suppkey",
+    "url": (
+        f"CASE s_suppkey % 8 WHEN 1 THEN 'https://site' || {_N} || '.example.ru/' WHEN 2 THEN 'https://WWW.Site' || {_N} || '.example.ru'"
+        f" WHEN 3 THEN 'http://site' || {_N} || '.example.ru:80/people/' WHEN 4 THEN 'https://site' || {_N} || '.example.ru:443/team?x=1#top'"
+        f" WHEN 5 THEN 'HTTPS://SITE' || {_N} || '.EXAMPLE.RU' WHEN 6 THEN 'https://other' || {_N} || '.example.ru'"
+        f" WHEN 7 THEN 'https://site' || {_N} || '.example.ru/peop' ELSE 'https://site' || {_N} || '.example.ru' END"
+    ),
+    "company_name": SITE_SQL["company_name"],
+    "inn": SITE_SQL["inn"],
+}
+# the same sites once more, and single pages of them
+LISTED_PAGE_SQL = {
+    "site_ord": "s_suppkey + 1000000",
+    "url": (
+        f"CASE s_suppkey % 3 WHEN 0 THEN 'https://SITE' || {_N} || '.example.ru/#again'"
+        f" WHEN 1 THEN 'http://www.site' || {_N} || '.example.ru/team/' || CAST(3 * s_suppkey - 2 AS STRING) || '/'"
+        f" ELSE 'https://site' || {_N} || '.example.ru/people/' || CAST(12 * s_suppkey - 11 AS STRING) END"
+    ),
+    "company_name": "'Отдел ' || s_name",
+    "inn": pick("s_suppkey", [None, "500100732259"]),
+}
+
 # pages of the sites: the person of the row and a second one (k + 7)
 _PAGE_POSITIONS = ["Генеральный директор", "Главный бухгалтер", "Финансовый директор", "Ведущий специалист", "Юрист"]
 PAGE_KEYS = {
@@ -194,6 +219,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(_table(spark, sf_dir, "supplier"), SITE_SQL)
 
 
+def listed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = _table(spark, sf_dir, "supplier")
+    return _select(supplier, LISTED_SITE_SQL).unionByName(_select(supplier, LISTED_PAGE_SQL))
+
+
 def people_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages about two people each, with the fields they were built from."""
     return people_pages_of(_table(spark, sf_dir, "customer"))
@@ -229,6 +259,14 @@ SITE_LINE = (
     " WHEN 2 THEN '  https://www.site' || CAST(s_suppkey AS STRING) || '.ru/a ; b' WHEN 3 THEN ''"
     " WHEN 4 THEN 'a.ru,site' || CAST(s_suppkey AS STRING) || '.ru,,1c.ru,xyz' ELSE '1) http://s' || CAST(s_suppkey AS STRING) || '.ru' END"
 )
+# a file of site records: quotes, line breaks inside of them, separators inside of them
+CSV_RECORD = (
+    "CASE s_suppkey % 6 WHEN 0 THEN '\"ООО \"\"Ромашка\"\"{nl}и ' || s_name || '\";' || url || ';' || coalesce(inn, '')"
+    " WHEN 1 THEN s_name || ';\"' || url || '\";\"{nl}{nl}\"' WHEN 2 THEN '5\" трубы;' || url || ';x' WHEN 3 THEN ';' || url"
+    " WHEN 4 THEN '\"a;b\"c;\"\" ;\"' || url || '\"' ELSE '\"нет сайта{nl};\";;' END"
+)
+# files of different size
+CSV_FILE = "CASE WHEN s_suppkey < 8 THEN 0 WHEN s_suppkey < 30 THEN 1 ELSE 2 END"
 # sheets of 20 rows: a title, a blank row, a header of one of three kinds, data
 SHEET_KEYS = {"sheet_id": "CAST(floor(s_suppkey / 20) AS BIGINT)", "row_ord": "s_suppkey % 20", "s": "s_suppkey"}
 SHEET_LINE = (
@@ -323,3 +361,41 @@ TASK_SQL = {
     "total_pages": "o_orderkey % 100",
     "elapsed_seconds": "CAST(o_orderkey % 600 AS DOUBLE)",
 }
+
+# events of tasks that arrive out of order (up to 200 minutes): a third falls on task 0, the others live for 40 events
+EVENT_MS = "CAST(event_id AS BIGINT) * 60000 + (CAST(event_id AS BIGINT) * 7919 % 200) * 60000 + 1704067200000"
+STREAM_EVENT_SQL = {
+    "event_id": "CAST(event_id AS BIGINT)",
+    "task_id": "CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(event_id / 40) AS BIGINT) * 3 + event_id % 3 END",
+    "ms": EVENT_MS,
+    "type": "CASE WHEN event_id % 17 = 0 THEN 'completed' WHEN event_id % 19 = 0 THEN 'error' ELSE 'progress' END",
+    "value": "event_id % 7",
+}
+# contacts that arrive out of order; in the hot site persons come again after a while
+ARRIVING_CONTACT_SQL = {
+    "site_url": CONTACT_SQL["site_url"],
+    "full_name": FULL_NAME,
+    "personal_email": "'p' || CAST(person AS STRING) || '@corp.example.ru'",
+    "phone": "CASE k % 6 WHEN 4 THEN '' WHEN 5 THEN CAST(NULL AS STRING) ELSE '79031112233' END",
+    "page_ord": CONTACT_SQL["page_ord"],
+    "contact_ord": CONTACT_SQL["contact_ord"],
+    "ms": "k * 60000 + (k * 7919 % 200) * 60000 + 1704067200000",
+}
+
+
+def arrival(key: str, table: str, batches: int) -> str:
+    """SQL: the batch in which a row arrives, by its key."""
+    return f"CAST(floor(CAST({key} AS BIGINT) * {batches} / (SELECT max({key}) + 1 FROM {table})) AS INT)"
+
+# one task of the statistics
+STAT_TASK_SQL = {
+    "created_at": "o_orderdate",
+    "finished_at": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END",
+    "mode": "o_orderkey % 3 + 1",
+    "variant": "'B'",
+    "errors": "o_orderkey % 7",
+    "total_pages": "o_orderkey % 100",
+    "elapsed_seconds": "CAST(o_orderkey % 600 + 75 AS DOUBLE)",
+    "llm_tokens_used": "o_orderkey * 3",
+    "fallback_count": "o_orderkey % 5",
+}

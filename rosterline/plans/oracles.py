@@ -6,7 +6,8 @@ written anew with lists, joins and windows, not translated from the Spark side.
 
 from rosterline import vocab
 from rosterline.plans import derived as D
-from rosterline.plans.catalog import COMPANY_TITLES, TARGETS
+from rosterline.functions.similarity import position_dictionary
+from rosterline.plans.catalog import COMPANY_TITLES, SIMILAR_TARGETS, TARGETS
 
 ORACLES: dict[str, str] = {}
 
@@ -83,14 +84,29 @@ def contact_rows(name: str, columns: str, more: str = "") -> None:
 
 
 # --- sources --------------------------------------------------------------------
-oracle("read_sites_csv", "SELECT url, nullif(company_name, '') AS company_name, inn FROM sites", SITES)
+# a header in front of every file; the records' own line breaks count as lines
+_RECORDS = {
+    0: ("'ООО \"Ромашка\"' || chr(10) || 'и ' || s_name", "url", "inn", 2), 1: ("s_name", "url", "NULL", 3), 2: ("'5\" трубы'", "url", "'x'", 1),
+    3: ("NULL", "url", "NULL", 1), 4: ("'a;bc'", "url", "url", 1), 5: ("'нет сайта' || chr(10) || ';'", "'https://нет сайта' || chr(10) || ';'", "NULL", 2),
+}
+
+
+def _by_record(place: int) -> str:
+    return "CASE s_suppkey % 6 " + " ".join(f"WHEN {k} THEN {v[place]}" for k, v in _RECORDS.items()) + " END"
+
+
+oracle(
+    "read_sites_csv",
+    f"SELECT CAST(sum(n) OVER (ORDER BY k) - n + f + 1 AS BIGINT) AS site_ord, url, company_name, inn FROM (SELECT s_suppkey AS k, {D.CSV_FILE} AS f, {_by_record(3)} AS n,"
+    f" {_by_record(1)} AS url, {_by_record(0)} AS company_name, {_by_record(2)} AS inn FROM (SELECT s_suppkey, s_name, {D.SITE_SQL['url']} AS url, {D.SITE_SQL['inn']} AS inn FROM supplier))",
+)
 oracle(
     "read_sites_txt",
     "SELECT line_ord, part_ord, CASE WHEN regexp_matches(part, '^https?://') THEN part ELSE 'https://' || part END AS url FROM ("
     " SELECT line_ord, part_ord, regexp_replace(trim(p), '^[0-9]+[.)]\\s+', '') AS part, length(trim(p)) AS len FROM ("
     "  SELECT line_ord, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS part_ord FROM ("
     "   SELECT line_ord, regexp_split_to_array(trim(line), '[,;\\t]+') AS parts FROM ("
-    f"    SELECT s_suppkey AS line_ord, {D.SITE_LINE} AS line FROM supplier)"
+    f"    SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS line_ord, {D.SITE_LINE} AS line FROM supplier)"
     "   WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')))) WHERE len >= 4 AND part <> ''",
 )
 SHEETS = (
@@ -296,8 +312,66 @@ oracle(
 )
 _BOTH = "lower(coalesce(position_raw, '') || ' ' || coalesce(position_normalized, ''))"
 _HIT = f"len(list_filter({words(TARGETS)}, lambda t: contains({_BOTH}, t))) > 0"
-contact_rows("position_matches_targets", f"{_HIT} AS hit")
-oracle("match_targets_join", f"SELECT page_ord, contact_ord FROM contacts WHERE {_HIT}", CONTACTS)
+oracle("substring_targets", f"SELECT page_ord, contact_ord FROM contacts WHERE {_HIT}", CONTACTS)
+
+
+# Longest common subsequence of all pairs (a, b): a row of the table of prefixes per character of a.
+def common(pairs: str) -> str:
+    cell = "CASE WHEN k > 1 AND bs[k - 1] = as_[i + 1] THEN line[k - 1] + 1 ELSE line[k] END"
+    row = f"list_transform(range(1, len(bs) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: {cell})))"
+    return (
+        "walk(a, b, as_, bs, i, line) AS (SELECT a, b, string_split(a, ''), string_split(b, ''), 0, list_transform(range(0, length(b) + 1), lambda z: CAST(0 AS BIGINT))"
+        f" FROM {pairs} UNION ALL SELECT a, b, as_, bs, i + 1, {row} FROM walk WHERE i < len(as_)),"
+        " lcs AS (SELECT a, b, line[-1] AS n FROM walk WHERE i = len(as_))"
+    )
+
+
+def sorted_words(text: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+DICTIONARY = (
+    "dictionary(ord, variant, canonical) AS (VALUES "
+    + ", ".join("(" + str(i) + ", " + ", ".join("'" + x.replace("'", "''") + "'" for x in kv) + ")" for i, kv in enumerate(position_dictionary().items())) + ")"
+)
+KNOWN_POSITIONS = (
+    "exact AS (SELECT lower(variant) AS low, arg_min(canonical, ord) AS canonical FROM dictionary GROUP BY 1),"
+    " asked AS (SELECT DISTINCT position_raw AS p, lower(trim(position_raw)) AS low FROM contacts WHERE trim(position_raw) <> ''),"
+    f" pairs AS (SELECT DISTINCT {sorted_words('q.low')} AS a, {sorted_words('lower(d.variant)')} AS b FROM asked q, dictionary d WHERE q.low NOT IN (SELECT low FROM exact)),"
+    " near AS (SELECT * FROM pairs WHERE 200.0 * least(length(a), length(b)) >= 75 * (length(a) + length(b)))"
+)
+LOOKED_UP = (
+    f"alike AS (SELECT q.low, d.canonical FROM asked q JOIN lcs ON lcs.a = {sorted_words('q.low')} JOIN dictionary d ON lcs.b = {sorted_words('lower(d.variant)')}"
+    " WHERE 200.0 * n / (length(a) + length(b)) >= 75 QUALIFY row_number() OVER (PARTITION BY q.low ORDER BY 200.0 * n / (length(a) + length(b)) DESC, d.ord) = 1),"
+    " answers AS (SELECT q.p, coalesce(e.canonical, s.canonical, q.p) AS canonical FROM asked q LEFT JOIN exact e ON e.low = q.low LEFT JOIN alike s ON s.low = q.low)"
+)
+for _name, _alias in (("position_normalize_fuzzy", "position"), ("fuzzy_dictionary_join", "canonical")):
+    oracle(
+        _name, f"SELECT page_ord, contact_ord, position_raw, canonical AS {_alias} FROM contacts LEFT JOIN answers ON p = position_raw",
+        "RECURSIVE " + CONTACTS, DICTIONARY, KNOWN_POSITIONS, common("near"), LOOKED_UP,
+    )
+
+# all windows of the longer text, also those that hang over an end; of equally long texts both ways
+_BOTH_TEXT = "lower(coalesce(position_raw, '') || ' ' || coalesce(position_normalized, ''))"
+
+
+def by_target(name: str, targets: list[str], select: str) -> None:
+    wanted = words([t.lower() for t in targets])
+    window = "long[greatest(s, 0) + 1 : s + length(short)]"
+    oracle(
+        name, select, "RECURSIVE " + CONTACTS,
+        f"texts AS (SELECT DISTINCT {_BOTH_TEXT} AS t, unnest({wanted}) AS w FROM contacts)",
+        "sides AS (SELECT t, w, CASE WHEN length(w) <= length(t) THEN w ELSE t END AS short, CASE WHEN length(w) <= length(t) THEN t ELSE w END AS long FROM texts"
+        " UNION SELECT t, w, t, w FROM texts WHERE length(t) = length(w))",
+        f"windows AS (SELECT t, w, short AS a, {window} AS b FROM (SELECT *, unnest(range(1 - length(short), length(long))) AS s FROM sides WHERE NOT contains(t, w)))",
+        "distinct_windows AS (SELECT DISTINCT a, b FROM windows)", common("distinct_windows"),
+        "hits AS (SELECT DISTINCT t FROM texts WHERE contains(t, w) UNION SELECT t FROM windows JOIN lcs USING (a, b) WHERE 200.0 * n / (length(a) + length(b)) >= 70)",
+    )
+
+
+by_target("position_matches_targets", SIMILAR_TARGETS, f"SELECT page_ord, contact_ord, {_BOTH_TEXT} IN (SELECT t FROM hits) AS hit FROM contacts")
+by_target("match_targets_join", SIMILAR_TARGETS, f"SELECT page_ord, contact_ord FROM contacts WHERE {_BOTH_TEXT} IN (SELECT t FROM hits)")
+by_target("match_targets_similar", SIMILAR_TARGETS[:2], f"SELECT page_ord, contact_ord FROM contacts WHERE {_BOTH_TEXT} IN (SELECT t FROM hits)")
 
 # --- declension ---------------------------------------------------------------------
 FIO = (

@@ -1,6 +1,8 @@
 """Oracles of the table operators: pages, entities, joins, dedups, reports."""
 
 from rosterline import vocab
+from rosterline.operators.prompts import CORRECTION_TASK
+from rosterline.operators.reports import TASK_LABELS
 from rosterline.plans import derived as D
 from rosterline.plans.oracles import (
     BLOCKLIST, CAT, CATEGORISED, CATEGORY_TABLES, CONTACTS, DATIVE, DOC_EMAILS, EMAIL, ENTRIES, FIO, FIO_DATIVE, GENDER, KNOWN, LISTED, NAME_PATRONYMIC,
@@ -30,13 +32,16 @@ oracle("category_counts", "SELECT * FROM category_counts", *CAT, CATEGORY_COUNTS
 oracle("site_counts", "SELECT * FROM site_counts", CONTACTS, SITES, SITE_COUNTS)
 oracle(
     "statistics_table",
-    "SELECT 'total' AS section, 'Итого контактов' AS label, count(*) AS value FROM contacts UNION ALL"
-    " SELECT 'category', category, n FROM category_counts UNION ALL SELECT 'site', site_url, n FROM site_counts",
+    "SELECT 'total' AS section, 'Итого контактов' AS label, CAST(count(*) AS VARCHAR) AS value FROM contacts UNION ALL"
+    " SELECT 'category', category, CAST(n AS VARCHAR) FROM category_counts UNION ALL SELECT 'site', site_url, CAST(n AS VARCHAR) FROM site_counts UNION ALL"
+    f" SELECT 'task', unnest({words(TASK_LABELS)}), unnest([strftime(created_at, '%d.%m.%Y %H:%M:%S'), coalesce(strftime(finished_at, '%d.%m.%Y %H:%M:%S'), '—'),"
+    " 'Режим ' || mode, variant, CAST(errors AS VARCHAR), CAST(total_pages AS VARCHAR), (CAST(elapsed_seconds AS BIGINT) // 60) || ' мин ' || (CAST(elapsed_seconds AS BIGINT) % 60) || ' сек',"
+    f" CAST(llm_tokens_used AS VARCHAR), CAST(fallback_count AS VARCHAR)]) FROM (SELECT {fields(D.STAT_TASK_SQL)} FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders))",
     *CAT, SITES, CATEGORY_COUNTS, SITE_COUNTS,
 )
 oracle(
     "site_log_table",
-    "SELECT s.site_url, count(DISTINCT c.page_ord) AS n_pages, CASE WHEN any_value(n) > 0 THEN 'OK' ELSE 'Нет контактов' END || ': найдено ' || any_value(n) || ' контактов' AS status"
+    "SELECT '03.02.2024 04:05' AS time, s.site_url, count(DISTINCT c.page_ord) AS n_pages, CASE WHEN any_value(n) > 0 THEN 'OK' ELSE 'Нет контактов' END || ': найдено ' || any_value(n) || ' контактов' AS status"
     " FROM site_counts s LEFT JOIN contacts c ON c.site_url = s.site_url GROUP BY s.site_url",
     CONTACTS, SITES, SITE_COUNTS,
 )
@@ -308,16 +313,39 @@ oracle(
     f"SELECT page_ord, contact_ord FROM contacts WHERE NOT ({on_list(domain_of('site_url'))} OR {mail_blocked('personal_email')} OR {inn_blocked('inn')})",
     CONTACTS, BLOCKLIST,
 )
-_JOINED = "FROM contacts c LEFT JOIN sites s ON s.url = c.site_url"
-oracle(
-    "site_defaults",
-    f"SELECT page_ord, contact_ord, nullif(trim(s.company_name), '') AS site_company, nullif(s.inn, '') AS site_inn {_JOINED}", CONTACTS, SITES,
+
+
+def key_of(url: str) -> str:
+    host = f"regexp_replace(lower(regexp_extract({url}, '(?i)^https?://([^/?#]*)', 1)), ':(80|443)$', '')"
+    return f"(regexp_replace({host}, '^www\\.', '') || rtrim(regexp_extract({url}, '(?i)^https?://[^/?#]*([^?#]*)', 1), '/'))"
+
+
+LISTS = (
+    f"lists AS (SELECT *, {key_of('url')} AS key FROM (SELECT {fields(D.LISTED_SITE_SQL)} FROM supplier UNION ALL SELECT {fields(D.LISTED_PAGE_SQL)} FROM supplier)"
+    " QUALIFY row_number() OVER (PARTITION BY key ORDER BY site_ord) = 1)"
 )
+
+
+def matched(source: str, page: str) -> str:
+    """matched(k, ...): the listed site of every row of `source` that has one."""
+    under = f"({key_of(page)} = l.key OR starts_with({key_of(page)}, l.key || '/'))"
+    return (
+        f"matched AS (SELECT t.k, l.url, l.site_ord, nullif(trim(l.company_name), '') AS company, nullif(l.inn, '') AS inn FROM {source} t JOIN lists l"
+        f" ON {under} QUALIFY row_number() OVER (PARTITION BY t.k ORDER BY length(l.key) DESC) = 1)"
+    )
+
+
+_JOINED = "FROM contacts c LEFT JOIN matched m ON m.k = c.k"
+oracle("site_defaults", f"SELECT page_ord, contact_ord, m.company AS site_company, m.inn AS site_inn {_JOINED}", CONTACTS, LISTS, matched("contacts", "source_url"))
 oracle(
     "apply_input_company",
-    "SELECT page_ord, contact_ord, CASE WHEN coalesce(s.company_name, '') <> '' THEN s.company_name WHEN length(coalesce(c.company_name, '')) < 3 THEN '' ELSE c.company_name END AS company_name,"
-    f" {STRICT_INN.format(x='coalesce(s.inn, c.inn)')} AS inn {_JOINED}",
-    CONTACTS, SITES,
+    "SELECT page_ord, contact_ord, CASE WHEN m.company IS NOT NULL THEN m.company WHEN length(coalesce(c.company_name, '')) < 3 THEN '' ELSE c.company_name END AS company_name,"
+    f" {STRICT_INN.format(x='coalesce(m.inn, c.inn)')} AS inn {_JOINED}",
+    CONTACTS, LISTS, matched("contacts", "source_url"),
+)
+oracle(
+    "match_sites", "SELECT DISTINCT page_url, m.url AS listed_url, m.site_ord AS listed_ord FROM people p JOIN matched m ON m.k = p.k",
+    PEOPLE, LISTS, matched("people", "page_url"),
 )
 oracle(
     "fill_from_page_text",
@@ -349,7 +377,10 @@ oracle(
 oracle("contact_index", "SELECT page_ord, contact_ord, site_url, idx FROM indexed", CONTACTS, INDEXED)
 GOLD = "gold AS (SELECT DISTINCT site_url, full_name FROM sides WHERE kind <> 6)"
 oracle(
-    "contacts_vs_gold", "SELECT site_url, lower(full_name) AS name, true AS found, true AS in_gold FROM gold", PEOPLE, SIDES, GOLD,
+    "contacts_vs_gold",
+    "SELECT site_url, name, bool_or(f) AS found, bool_or(g) AS in_gold FROM (SELECT site_url, lower(full_name) AS name, true AS f, false AS g FROM sides WHERE kind <> 6 UNION ALL"
+    " SELECT site_url, lower(name_a), false, true FROM people UNION ALL SELECT site_url, lower(name_b), false, true FROM people WHERE k % 9 <> 0) GROUP BY site_url, name",
+    PEOPLE, SIDES,
 )
 oracle(
     "precision_recall",
@@ -371,10 +402,6 @@ oracle(
     "dedup_name_email_phone",
     f"SELECT page_ord, contact_ord, full_name, personal_email, phone FROM contacts QUALIFY {FIRST.format(keys=_EXACT_KEY)}", CONTACTS,
 )
-oracle(
-    "stream_dedup_contacts",
-    "SELECT DISTINCT site_url, coalesce(full_name, '') AS full_name, coalesce(personal_email, '') AS personal_email, coalesce(phone, '') AS phone FROM contacts", CONTACTS,
-)
 _FIELDS = ["personal_email", "company_email", "phone", "inn", "kpp", "position_raw", "position_normalized"]
 _W = f"(PARTITION BY site_url, {_NAME_KEY} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 MERGED = (
@@ -434,7 +461,13 @@ oracle(
     " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM calls)",
     CALLS,
 )
-oracle("site_summary", "SELECT site_url, count(*) AS n_pages FROM page_rows GROUP BY 1", PAGE_ROWS)
+oracle(
+    "site_summary",
+    "SELECT site_url, count(*) FILTER (WHERE w = 'p') AS n_pages, count(*) FILTER (WHERE w = 'c') AS n_contacts, count(*) FILTER (WHERE w = 'e') AS n_errors FROM ("
+    "SELECT site_url, 'p' AS w FROM page_rows UNION ALL SELECT site_url, 'c' FROM contacts UNION ALL"
+    f" SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1), 'e' FROM pages WHERE {D.FETCH_STATUS} IN ('403', '404', '429', '500', '503')) GROUP BY site_url",
+    PAGE_ROWS, CONTACTS,
+)
 oracle(
     "upload_preview",
     "SELECT (SELECT count(*) FROM sites) AS rows_count, string_agg(url, ',' ORDER BY site_ord) AS preview_urls FROM (SELECT * FROM sites ORDER BY site_ord LIMIT 10)", SITES,
@@ -470,13 +503,52 @@ contact_rows("union_site_results", "site_url")
 oracle("distinct_values", "SELECT DISTINCT email FROM mail", DOC_EMAILS, CONTACTS, MAIL)
 
 # --- streaming ---------------------------------------------------------------------------------------
+# A watermark is the latest time of the batches before, less the delay; a batch without rows follows the last one.
+def _marks(source: str, delay_ms: int, batches: int) -> str:
+    return (
+        f"marks AS (SELECT b, coalesce(greatest(max(m) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {delay_ms}, 0), 0) AS w FROM ("
+        f"SELECT r.b, max(ms) AS m FROM (SELECT unnest(range({batches + 1})) AS b) r LEFT JOIN {source} s ON s.b = r.b GROUP BY r.b))"
+    )
+
+
+_HOUR = 3_600_000
+ARRIVALS = (
+    f"arrivals AS (SELECT {fields(D.ARRIVING_CONTACT_SQL)}, b, site_idx || '/' || person || '/' || coalesce(CASE k % 6 WHEN 4 THEN '' WHEN 5 THEN '' ELSE '1' END, '') AS key"
+    f" FROM (SELECT {fields(D.CONTACT_KEYS)}, {D.arrival('c_custkey', 'customer', 4)} AS b FROM customer))"
+)
+oracle(
+    "stream_dedup_contacts",
+    "SELECT page_ord, contact_ord, site_url, full_name, phone, ms, 'late' AS outcome FROM timely WHERE late UNION ALL"
+    " SELECT page_ord, contact_ord, site_url, full_name, phone, ms, 'first' FROM walk JOIN timely t ON t.key = walk.key AND t.b = walk.b AND t.ms = walk.came AND NOT late",
+    "RECURSIVE " + ARRIVALS, _marks("arrivals", _HOUR, 4), "timely AS (SELECT a.*, a.ms < w AS late FROM arrivals a JOIN marks USING (b))",
+    "firsts AS (SELECT key, b, min(ms) AS ms FROM timely WHERE NOT late GROUP BY ALL)",
+    "walk(key, b, seen, came) AS (SELECT DISTINCT key, -1, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM arrivals UNION ALL"
+    f" SELECT k.key, m.b, CASE WHEN k.seen + {_HOUR} >= m.w THEN k.seen ELSE f.ms END, CASE WHEN k.seen + {_HOUR} >= m.w THEN NULL ELSE f.ms END"
+    " FROM walk k JOIN marks m ON m.b = k.b + 1 LEFT JOIN firsts f ON f.key = k.key AND f.b = m.b)",
+)
+STREAMED = f"streamed AS (SELECT {fields(D.STREAM_EVENT_SQL)}, {D.arrival('event_id', 'events', 4)} AS b FROM events)"
 oracle(
     "stream_progress",
-    "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, user_id AS task_id, count(*) AS n_events, CAST(sum(trunc(value * 100)) AS BIGINT) AS total FROM events GROUP BY 1, 2",
+    "SELECT start, task_id, n_events, CAST(value AS DOUBLE) AS value, CAST(processed AS BIGINT) AS processed, round(100.0 * processed / 100000, 6) AS percent, round(processed / minutes, 6) AS rate,"
+    " round(greatest(100000 - processed, 0) / (processed / minutes), 3) AS eta_minutes FROM (SELECT *, sum(n_events) OVER t AS processed, (start - min(start) OVER t) / 60000.0 + 30 AS minutes FROM ("
+    " SELECT ms // 1800000 * 1800000 AS start, task_id, count(*) AS n_events, sum(value) AS value FROM streamed GROUP BY 1, 2)"
+    f" WHERE start + 1800000 <= (SELECT max(ms) FROM streamed) - {4 * _HOUR} WINDOW t AS (PARTITION BY task_id ORDER BY start))",
+    STREAMED,
 )
 oracle(
     "stream_terminal_status",
-    "SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS type, count(*) AS n_events, arg_max(event_type, (ts, event_id)) IN ('completed', 'error', 'cancelled') AS closed FROM events GROUP BY 1",
+    "SELECT task_id, 'late' AS outcome, type, ms AS closed_at, CAST(1 AS BIGINT) AS n_events FROM timely WHERE late UNION ALL"
+    " SELECT task_id, 'closed', done.type, done.ms, CAST(done.n AS BIGINT) FROM walk WHERE done IS NOT NULL",
+    "RECURSIVE " + STREAMED, _marks("streamed", _HOUR, 4), "timely AS (SELECT s.*, s.ms < w AS late FROM streamed s JOIN marks USING (b))",
+    "steps AS (SELECT task_id, b, count(*) AS n, arg_max(type, (ms, event_id)) AS type, max((ms, event_id)) AS last, max(ms) AS ms FROM timely WHERE NOT late GROUP BY task_id, b)",
+    "walk(task_id, b, n, last, ms, type, done) AS (SELECT DISTINCT task_id, -1, CAST(0 AS BIGINT), CAST(NULL AS ROW(ms BIGINT, id BIGINT)), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),"
+    " CAST(NULL AS ROW(type VARCHAR, ms BIGINT, n BIGINT)) FROM streamed UNION ALL"
+    " SELECT task_id, b, n + coalesce(sn, 0), CASE WHEN sl IS NULL OR last > sl THEN last ELSE sl END, CASE WHEN sl IS NULL OR last > sl THEN ms ELSE sm END,"
+    " CASE WHEN sl IS NULL OR last > sl THEN type ELSE st END, done FROM (SELECT k.task_id, m.b, CASE WHEN shut THEN 0 ELSE k.n END AS n, CASE WHEN NOT shut THEN k.last END AS last,"
+    " CASE WHEN NOT shut THEN k.ms END AS ms, CASE WHEN NOT shut THEN k.type END AS type, CASE WHEN shut THEN CAST(ROW(k.type, k.ms, k.n) AS ROW(type VARCHAR, ms BIGINT, n BIGINT)) END AS done,"
+    " s.n AS sn, CAST(s.last AS ROW(ms BIGINT, id BIGINT)) AS sl, s.ms AS sm, s.type AS st FROM (SELECT w.*, coalesce(w.type IN ('completed', 'error', 'cancelled')"
+    f" AND w.ms + {_HOUR} < (SELECT m.w FROM marks m WHERE m.b = w.b + 1), false) AS shut FROM walk w) k JOIN marks m ON m.b = k.b + 1"
+    " LEFT JOIN steps s ON s.task_id = k.task_id AND s.b = m.b))",
 )
 
 # --- prompts and answers --------------------------------------------------------------------------------
@@ -488,10 +560,11 @@ def _dash(c: str) -> str:
 
 oracle(
     "correction_prompts",
-    "SELECT site_url, (idx - 1) // 500 AS part, count(*) AS n_contacts, string_agg("
+    "SELECT i.site_url, (idx - 1) // 500 AS part, count(*) AS n_contacts, 'Сайт: ' || i.site_url || chr(10) || 'Компания (из входного файла): ' || coalesce(any_value(m.company), '')"
+    f" || chr(10) || chr(10) || '{CORRECTION_TASK}' || chr(10) || chr(10) || 'Таблица:' || chr(10) || string_agg("
     f"idx || '. ФИО: ' || {_dash('full_name')} || ' | Должность: ' || {_dash('position_raw')} || ' | Email: ' || {_dash('personal_email')} || ' | Тел: ' || {_dash('phone')},"
-    " chr(10) ORDER BY idx) AS prompt FROM indexed GROUP BY site_url, (idx - 1) // 500",
-    CONTACTS, INDEXED,
+    " chr(10) ORDER BY idx) AS prompt FROM indexed i LEFT JOIN matched m ON m.k = i.site_url GROUP BY i.site_url, (idx - 1) // 500",
+    CONTACTS, INDEXED, LISTS, matched("(SELECT DISTINCT site_url AS k, site_url FROM contacts)", "site_url"),
 )
 _NL = "chr(10)"
 oracle(
@@ -513,12 +586,12 @@ oracle(
 # checks remove nothing here; site list, blocklist, dedups and propagation do act.
 _PERSON_W = "(PARTITION BY site_url, lower(full_name), lower(company_name) ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 FOUND = (
-    "found AS (SELECT s.page_ord * 10 + side AS k, s.page_ord, CAST(side AS BIGINT) AS contact_ord, s.site_url,"
-    " coalesce(nullif(l.company_name, ''), 'ООО Пример ' || CAST(site_idx AS STRING)) AS company_name, full_name,"
+    "found AS (SELECT s.page_ord * 10 + side AS k, s.page_ord, CAST(side AS BIGINT) AS contact_ord, l.url AS site_url,"
+    " coalesce(l.company, 'ООО Пример ' || CAST(site_idx AS STRING)) AS company_name, full_name,"
     f" {_EXTRACTED} AS position_raw, email AS personal_email, 'info@site' || CAST(site_idx AS STRING) || '.example.ru' AS company_email,"
     f" {e164('phone_raw')} AS phone, {STRICT_INN.format(x='coalesce(l.inn, s.inn)')} AS inn, kpp"
-    f" FROM sides s LEFT JOIN sites l ON l.url = s.site_url WHERE kind <> 6 AND NOT {on_list(domain_of('s.site_url'))}"
-    " QUALIFY row_number() OVER (PARTITION BY s.site_url, full_name, email, phone_raw ORDER BY s.page_ord, side) = 1)"
+    f" FROM sides s JOIN matched l ON l.k = s.k WHERE kind <> 6 AND NOT {on_list(domain_of('l.url'))}"
+    " QUALIFY row_number() OVER (PARTITION BY l.url, full_name, email, phone_raw ORDER BY s.page_ord, side) = 1)"
 )
 ONE_PERSON = (
     "one_person AS (SELECT k, page_ord, contact_ord, site_url, company_name, full_name, "
@@ -531,7 +604,7 @@ FILLED = (
 oracle(
     "site_contacts",
     "SELECT site_url, page_ord, contact_ord, company_name, full_name, position_normalized, category, personal_email, company_email, phone, inn, kpp FROM categorised",
-    PEOPLE, SIDES, SITES, BLOCKLIST, FOUND, ONE_PERSON, FILLED, CATEGORY_TABLES, CATEGORISED,
+    PEOPLE, SIDES, LISTS, matched("people", "page_url"), BLOCKLIST, FOUND, ONE_PERSON, FILLED, CATEGORY_TABLES, CATEGORISED,
 )
 oracle(
     "expand_link_frontier",

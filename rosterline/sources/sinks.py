@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from rosterline.operators.reports import category_rows
 
 
-def write_contacts_by_category(contacts: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """One folder per non-empty category with the export columns."""
-    rows = category_rows(contacts).drop("sheet").sortWithinPartitions("category", "site_url", "page_ord", "contact_ord")
-    writer = rows.write.mode("overwrite").partitionBy("category")
+def write_contacts_by_category(
+    contacts: DataFrame, path: str, file_format: str = "parquet", rows_per_file: int = 2_000_000
+) -> None:
+    """One folder per non-empty category with the export columns; a rerun replaces them.
+
+    Rows are rebalanced by category before the write: small categories end in one
+    file each, a large one is split where its bytes pass the advisory partition
+    size, so the number of files follows the bytes and not the number of tasks.
+    """
+    rows = category_rows(contacts).drop("sheet").hint("rebalance", "category")
+    rows = rows.sortWithinPartitions("category", "site_url", "page_ord", "contact_ord")
+    writer = rows.write.mode("overwrite").partitionBy("category").option("maxRecordsPerFile", rows_per_file)
     if file_format == "csv":
         writer = writer.option("header", True)
     writer.format(file_format).save(path)

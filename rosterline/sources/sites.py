@@ -7,6 +7,7 @@ from rosterline import vocab
 from rosterline.functions.text import empty_to_null, strip_ws
 from rosterline.functions.urls import url_host, url_scheme
 from rosterline.operators.skew import first_by, spread_join
+from rosterline.sources.lines import csv_records, numbered_lines
 
 _HAS_SCHEME = r"^https?://"
 
@@ -22,35 +23,34 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(",;\t", key=line.count)
 
 
-def _has_keyword(name: str, keywords: list[str]) -> bool:
-    return any(k in name.lower() for k in keywords)
-
-
 def read_sites_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Site list with a header; columns are found by keyword.
+    """Site lists with a header each; columns are found by keyword.
 
     URL: the first column named like one, else the first cell with a dot, else
     the first filled cell.  Company and INN: the last column named like one.
+    site_ord is the number of the record's first line over all files in the order
+    of their paths; a quoted field may hold line breaks.  Cells behind the last
+    header are ignored.
     """
-    raw = spark.read.csv(path, header=True, sep=sep or sniff_separator(spark, path), multiLine=False)
-    names = [c.lstrip("﻿") for c in raw.columns]
-    raw = raw.toDF(*[f"c{i}" for i in range(len(names))])
-    cells = [strip_ws(F.coalesce(F.col(c), F.lit(""))) for c in raw.columns]
-    url_at = next((i for i, n in enumerate(names) if _has_keyword(n, vocab.CSV_URL_KEYWORDS)), None)
-
-    def last_named(keywords: list[str]) -> Column:
-        found = [c for n, c in zip(names, cells) if _has_keyword(n, keywords)]
-        return empty_to_null(found[-1]) if found else F.lit(None).cast("string")
-
-    every = F.array(*cells)
-    with_dot = F.get(F.filter(every, lambda c: c.contains(".")), F.lit(0))
-    filled = F.get(F.filter(every, lambda c: c != ""), F.lit(0))
-    named = empty_to_null(cells[url_at]) if url_at is not None else F.lit(None).cast("string")
-    picked = raw.select(
-        F.monotonically_increasing_id().alias("site_ord"),
-        F.coalesce(named, with_dot, filled).alias("url"),
-        last_named(vocab.CSV_NAME_KEYWORDS).alias("company_name"),
-        last_named(vocab.CSV_INN_KEYWORDS).alias("inn"),
+    records = csv_records(spark, path, sep or sniff_separator(spark, path))
+    names = F.transform("cells", F.lower)
+
+    def named(keywords: list[str]) -> Column:
+        places = F.transform(names, lambda n, i: F.when(F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(n, k)), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    heads = records.filter("line = 0").select(
+        "path", F.size("cells").alias("_width"), F.array_min(named(vocab.CSV_URL_KEYWORDS)).alias("_url"),
+        F.array_max(named(vocab.CSV_NAME_KEYWORDS)).alias("_name"), F.array_max(named(vocab.CSV_INN_KEYWORDS)).alias("_inn"),
+    )
+    rows = spread_join(records.filter("line > 0"), heads, ["path"], "inner", ["line"])
+    rows = rows.withColumn("cells", F.transform(F.slice("cells", F.lit(1), F.col("_width")), strip_ws))
+    cell = lambda c: empty_to_null(F.get("cells", F.col(c)))
+    with_dot = F.get(F.filter("cells", lambda c: c.contains(".")), F.lit(0))
+    filled = F.get(F.filter("cells", lambda c: c != ""), F.lit(0))
+    picked = rows.select(
+        F.col("line_ord").alias("site_ord"), F.coalesce(cell("_url"), with_dot, filled).alias("url"),
+        cell("_name").alias("company_name"), cell("_inn").alias("inn"),
     )
     return picked.filter("url is not null").withColumn("url", _add_scheme(F.col("url")))
 
@@ -69,8 +69,8 @@ def sites_from_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_sites_txt(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_ord"), F.col("value").alias("line"))
-    return sites_from_lines(lines)
+    """Sites of text files; line_ord counts the lines of all files in the order of their paths."""
+    return sites_from_lines(numbered_lines(spark, path).select("line_ord", F.col("value").alias("line")))
 
 
 HEADER_ROWS, SAMPLE_ROWS = 10, 5  # fixed values: where a header may stand; rows read below it

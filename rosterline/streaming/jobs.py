@@ -6,15 +6,23 @@ batch that runs twice after a failure leaves the same result once.
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rosterline.functions.text import empty_to_null
 from rosterline.operators.dedup import MERGED_FIELDS, _text_key
 from rosterline.operators.extraction import extract_contacts
 from rosterline.operators.skew import earliest
 from rosterline.schemas import CONTACT_ORDER, TERMINAL_EVENTS
+from rosterline.streaming.levels import append_batch, remove_folder
+
+#: Days by which the column that carries the watermark lies ahead of the event time.
+AHEAD = 36_500
+#: Formats that keep a row whole on its way through a state function.
+_STAMP, _STAMP_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_batches(
@@ -35,26 +43,81 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def latest(batches: DataFrame, keys: list[str]) -> DataFrame:
-    """Current row of every key in a folder of update batches."""
-    rest = [c for c in batches.columns if c not in (*keys, "batch")]
-    return batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
-
-
 def stream_extract_contacts(pages: DataFrame, targets: list[str] | None = None) -> DataFrame:
     """Contacts of arriving pages.  The plan is the batch one: without targets it
     needs no state and no shuffle."""
     return extract_contacts(pages, targets)
 
 
+def _millis(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
+def _marked(rows: DataFrame, ts: str, delay: str) -> DataFrame:
+    """`rows` with _ts, the event time in milliseconds, and _mark, which carries the watermark.
+
+    Spark drops late rows before a stateful operator sees them; here they must
+    arrive, to be routed.  _mark lies AHEAD days after the event time and the
+    delay is longer by as much, so the watermark is the same as that of `ts` and no
+    row lies behind it.
+    """
+    mark = F.timestamp_millis(F.unix_millis(F.col(ts)) + AHEAD * 86_400_000)
+    marked = rows.select("*", F.unix_millis(F.col(ts)).alias("_ts"), mark.alias("_mark"))
+    return marked.withWatermark("_mark", f"{AHEAD} days {_millis(delay)} milliseconds")
+
+
+def _packed(rows: DataFrame, ts: str, delay: str, keys: list[Column]) -> DataFrame:
+    """(_key, _ts, _row, _mark): a string key, the event time and the whole row."""
+    whole = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"timestampFormat": _STAMP, "timestampNTZFormat": _STAMP_NTZ})
+    key = F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    return _marked(rows, ts, delay).select(key.alias("_key"), "_ts", whole.alias("_row"), "_mark")
+
+
+def _unpacked(rows: DataFrame, like: DataFrame, *more: str) -> DataFrame:
+    row = F.from_json("_row", like.schema, {"timestampFormat": _STAMP, "timestampNTZFormat": _STAMP_NTZ})
+    return rows.select(row.alias("_r"), *more).select("_r.*", *more)
+
+
 def stream_dedup_contacts(contacts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First arrival per site, name, email and phone; state is dropped once the
-    watermark has passed."""
-    filled = contacts.withColumns(
-        {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("full_name", "personal_email", "phone")}
+    """First arrivals per site, name, email and phone, and late rows: the columns and `outcome`.
+
+    A row is late if its scan_date lies before the watermark (the latest scan_date of
+    the earlier micro-batches less `delay`); late rows come out as `late`, whatever
+    they hold, and change no state.  Of the others the earliest of a key comes out
+    as `first`, and a repeat is left out.  A key is forgotten when the watermark
+    has passed its first row by `delay`, so the state holds the keys of that time
+    span only, and a repeat after it is a first one again.
+    """
+    span = _millis(delay)
+
+    def remember(key, frames, state):
+        watermark = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = state.get[0] if state.exists else None
+        if first is not None and first + span < watermark:
+            first = None
+        rows = pd.concat(list(frames)).sort_values(["_ts", "_row"])
+        late = rows["_ts"] < watermark
+        out = rows[late].assign(outcome="late")
+        if first is None and not late.all():
+            first = int(rows["_ts"][~late].iloc[0])
+            out = pd.concat([out, rows[~late].head(1).assign(outcome="first")])
+        if first is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first,))
+            state.setTimeoutTimestamp(max(first + span, watermark + 1))
+        yield out[["_row", "outcome"]]
+
+    filled = [F.coalesce(F.col(c), F.lit("")) for c in ("full_name", "personal_email", "phone")]
+    packed = _packed(contacts, "scan_date", delay, [F.col("site_url"), *filled])
+    found = packed.groupBy("_key").applyInPandasWithState(
+        remember, "_row string, outcome string", "first long", "append", GroupStateTimeout.EventTimeTimeout
     )
-    keys = ["site_url", "_full_name", "_personal_email", "_phone"]
-    return filled.withWatermark("scan_date", delay).dropDuplicatesWithinWatermark(keys).select(contacts.columns)
+    return _unpacked(found, contacts, "outcome")
 
 
 def merge_state(contacts: DataFrame) -> DataFrame:
@@ -78,38 +141,125 @@ def merge_state(contacts: DataFrame) -> DataFrame:
     )
 
 
+def combine_state(state: DataFrame) -> DataFrame:
+    """Partial merges folded into one per person, with the same columns."""
+    return state.groupBy("key_site", "key_name", "key_company").agg(
+        F.min("row_place").alias("row_place"), F.min_by("row", "row_place").alias("row"),
+        *[F.min(f"place_{c}").alias(f"place_{c}") for c in MERGED_FIELDS],
+        *[F.min_by(c, f"place_{c}").alias(c) for c in MERGED_FIELDS],
+    )
+
+
 def read_merged(state: DataFrame) -> DataFrame:
     """The kept table: the merge of all partial merges."""
-    return (
-        state.groupBy("key_site", "key_name", "key_company")
-        .agg(
-            F.min_by("row", "row_place").alias("row"),
-            *[F.min_by(c, f"place_{c}").alias(c) for c in MERGED_FIELDS],
-        )
-        .select("row.*", *MERGED_FIELDS)
-    )
+    return combine_state(state).select("row.*", *MERGED_FIELDS)
 
 
 def stream_upsert_merge(contacts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return write_batches(contacts, path, checkpoint, shape=merge_state)
+    """Keep the merged contacts in a levelled table; `read_merged(read_levels(spark, path))` is their present state.
 
+    A batch writes its own partial merge; folders are folded as they gather, so the
+    cost of a batch and of a reader does not grow with the history but with its
+    logarithm and the number of persons.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        append_batch(merge_state(batch), batch_id, path, combine_state)
 
-def stream_progress(events: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Events and their values per task and tumbling window.
-    events: task_id, ts, value."""
     return (
-        events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"), "task_id")
-        .agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
-        .select(F.col("w.start").alias("window_start"), "task_id", "n_events", "total")
+        contacts.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(save).trigger(availableNow=True).start()
     )
 
 
-def stream_terminal_status(events: DataFrame) -> DataFrame:
-    """Latest state per task and whether it closes the task.
-    events: task_id, ts, event_id, type."""
+def stream_progress(
+    events: DataFrame, path: str, checkpoint: str, total: float, delay: str = "10 minutes", width: str = "1 minute"
+) -> StreamingQuery:
+    """Progress per task and tumbling window, written once per window, when it is final.
+    events: task_id, ts, value.
+
+    Folder rows: window_start, task_id, n_events and value of the window, processed
+    (events up to its end), percent of `total`, rate (events a minute since the
+    task's first window) and eta_minutes; folder totals: first window and events per
+    task after each batch.  A batch reads the totals of the batch before and its own
+    final windows, one row per task and window, so neither it nor a reader looks back
+    at the history.  A batch that runs again writes the same folders.  Events behind
+    the watermark are left out.
+    """
+    spark = events.sparkSession
+    minutes = _millis(width) / 60_000
+    kind = dict(events.dtypes)["task_id"]
+    kept = f"task_id {kind}, first timestamp, processed long"
+    windows = (
+        events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "task_id")
+        .agg(F.count("*").alias("n_events"), F.sum("value").alias("value"))
+        .select(F.col("w.start").alias("window_start"), "task_id", "n_events", "value")
+    )
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.schema(kept).parquet(f"{path}/totals/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], kept)
+        task = Window.partitionBy("task_id").orderBy("window_start")
+        rows = batch.join(known, "task_id", "left").select(
+            "window_start", "task_id", "n_events", "value",
+            (F.coalesce("processed", F.lit(0)) + F.sum("n_events").over(task)).alias("processed"),
+            F.coalesce("first", F.min("window_start").over(task)).alias("first"),
+        )
+        passed = F.timestamp_diff("MILLISECOND", F.col("first"), F.col("window_start")) / 60_000 + minutes
+        shown = rows.withColumn("percent", 100.0 * F.col("processed") / total).withColumn("rate", F.col("processed") / passed)
+        left = F.greatest(F.lit(total) - F.col("processed"), F.lit(0.0))
+        shown.withColumn("eta_minutes", left / F.col("rate")).drop("first").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        ends = known.unionByName(rows.select("task_id", "first", "processed")).groupBy("task_id")
+        ends.agg(F.min("first").alias("first"), F.max("processed").alias("processed")).write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}")
+        remove_folder(spark, f"{path}/totals/batch={batch_id - 3}")
+
     return (
-        events.groupBy("task_id")
-        .agg(F.max_by("type", F.struct("ts", "event_id")).alias("type"), F.count("*").alias("n_events"))
-        .withColumn("closed", F.col("type").isin(TERMINAL_EVENTS))
+        windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .foreachBatch(save).trigger(availableNow=True).start()
+    )
+
+
+def stream_terminal_status(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """One row per closed task, and late events: task_id, outcome, type, closed_at, n_events.
+    events: task_id, ts, event_id, type.
+
+    A task whose latest event (by ts, event_id) is a terminal one is closed when the
+    watermark has passed that event by `delay`; it comes out once as `closed`, with
+    the number of its events, and its state goes.  An event that arrives in between
+    counts, and one that is later and not terminal keeps the task open.  An event
+    before the watermark comes out as `late` and changes nothing; an event after
+    the closing that is not late opens the task anew.
+    """
+    span = _millis(delay)
+
+    def follow(key, frames, state):
+        watermark = state.getCurrentWatermarkMs()
+        ts, event_id, kind, n = state.get if state.exists else (None, None, None, 0)
+        out = []
+        if ts is not None and kind in TERMINAL_EVENTS and ts + span < watermark:
+            out.append(pd.DataFrame({"task_id": [key[0]], "outcome": ["closed"], "type": [kind], "closed": [ts], "n_events": [n]}))
+            ts, event_id, kind, n = None, None, None, 0
+            state.remove()
+        if not state.hasTimedOut:
+            for rows in frames:  # one Arrow batch at a time: a task may hold a large share of the events
+                late = rows["_ts"] < watermark
+                if late.any():
+                    gone = rows[late]
+                    out.append(pd.DataFrame({"task_id": key[0], "outcome": "late", "type": gone["type"], "closed": gone["_ts"], "n_events": 1}))
+                rows = rows[~late]
+                if len(rows):
+                    last = rows.sort_values(["_ts", "event_id"]).iloc[-1]
+                    n += len(rows)
+                    if ts is None or (int(last["_ts"]), int(last["event_id"])) > (ts, event_id):
+                        ts, event_id, kind = int(last["_ts"]), int(last["event_id"]), last["type"]
+        if ts is not None:
+            state.update((ts, event_id, kind, n))
+            if kind in TERMINAL_EVENTS:
+                state.setTimeoutTimestamp(max(ts + span, watermark + 1))
+        yield from out
+
+    task = dict(events.dtypes)["task_id"]
+    rows = _marked(events, "ts", delay).select("task_id", "_ts", "event_id", "type", "_mark")
+    found = rows.groupBy("task_id").applyInPandasWithState(
+        follow, f"task_id {task}, outcome string, type string, closed long, n_events long",
+        "ts long, event_id long, type string, n long", "append", GroupStateTimeout.EventTimeTimeout,
     )
+    return found.select("task_id", "outcome", "type", F.timestamp_millis("closed").alias("closed_at"), "n_events")

@@ -93,7 +93,7 @@ def test_frontier_against_a_queue(spark):
             got.append(url)
             found = [f"https://s{site}.ru{h}" for h in __import__("re").findall(r'href="([^"]+)"', stored[url][3])]
             queue += sorted(dict.fromkeys(found), key=len)
-        mine = sorted((r for r in ours if r.site_url == f"https://s{site}.ru"), key=lambda r: (r.depth, r.path))
+        mine = sorted((r for r in ours if r.site_url == f"https://s{site}.ru"), key=lambda r: r.visit)
         assert [r.url for r in mine] == got
 
 
