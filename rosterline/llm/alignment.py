@@ -3,6 +3,7 @@
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def gallop(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def ends(parts: list[bytes]) -> list[int]:
-    return np.cumsum([len(p) for p in parts]).tolist()
+    return list(accumulate(map(len, parts)))
 
 
 def groups(a: list[bytes], b: list[bytes]) -> list[tuple[int, int, int, int]]:
@@ -147,7 +148,8 @@ class Aligner:
                 sizes.append(0)
                 continue
             found = groups(left, right)
-            shown = ";".join([",".join(map(str, x[s:t])) + "|" + ",".join(map(str, y[u:v])) for s, t, u, v in found])
+            p, q = [str(i) for i in x], [str(i) for i in y]
+            shown = ";".join([",".join(p[s:t]) + "|" + ",".join(q[u:v]) for s, t, u, v in found])
             links += [x[t - 1] * _SPAN + y[v - 1] for _, t, _, v in found]
             sizes.append(len(found))
             out.append((shown.encode(), None, len(x), len(y)))
@@ -237,9 +239,7 @@ def alignment_report(docs: DataFrame, first: str, second: str, doc_id: str = "do
     def count(batches):
         total = np.zeros(len(pairs), dtype=np.int64)
         for batch in batches:
-            for links in batch.column(0):
-                if links.is_valid:
-                    total += np.bincount(np.frombuffer(links.as_buffer(), dtype="<u4"), minlength=len(pairs))
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u4"), minlength=len(pairs))
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["pair", "n"])
 
