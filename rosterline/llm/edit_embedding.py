@@ -21,7 +21,7 @@ SAMPLED = (1, 5, 8, 12, 17, 21, 26, 30)
 TABLE, CODES = 4096, 1021
 SLOTS = 64
 #: Least values that make one key of the candidate join, edits allowed as a share of the longer text, texts a task holds on a side.
-ROWS, EDITS, BLOCK = 2, 0.1, 256
+ROWS, EDITS, BLOCK = 1, 0.08, 256
 #: Characters embedded at once.
 CHUNK = 1 << 20
 
