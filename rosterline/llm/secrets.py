@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.llm.common import documents, null_safe, query, row_key, stored
+from rosterline.operators.skew import spread_join
 
 #: Kinds in the order of the contract; "entropy" is the method's own.
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -22,9 +23,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 LEAST_BITS = 3.5
 #: A value is taken for a published example if more than this share of all owners (and more than one) hold it, in
-#: as many repositories of different text, or if more than LIVE_REPOSITORIES of those hold it, whoever owns them.
+#: as many repositories of different text.  A value of one owner is that owner's, however often it stands.
 LIVE_OWNERS = 0.1
-LIVE_REPOSITORIES = 20
 
 
 def entropy_bits(value: str) -> float:
@@ -110,8 +110,8 @@ def scan_secrets(
     `spans` has all base spans and, as kind entropy, random-looking runs whose
     value is live.  n_live counts the spans whose value is live, n_example the
     widely copied ones, owners the most owners of any value in the document.  A
-    document copied as it is to many owners makes no example; a value in many
-    different documents of one owner is one.  Null and empty texts have no spans;
+    document copied as it is to many owners makes no example, nor does one owner who
+    uses a value in many documents.  Null and empty texts have no spans;
     repeated rows get equal results and count once; other columns are ignored; an
     empty table gives an empty table.
     """
@@ -120,10 +120,10 @@ def scan_secrets(
         "__id", "__th", "owner", "repository", "f.*"
     )
     known = ownership(each)
-    judged = each.drop("owner", "repository").distinct().join(known, "hash")
+    judged = spread_join(each.drop("owner", "repository").distinct(), known, ["hash"], "inner", ["__id", "__th", "start"])
     owners = rows.agg(F.count_distinct(F.coalesce("owner", F.lit("\0none")))).first()[0]
     wide = F.least("owners", "repositories") > max(1, math.floor(LIVE_OWNERS * owners))
-    live = ~wide & (F.col("repositories") <= LIVE_REPOSITORIES)
+    live = ~wide
     shown = judged.filter((F.col("kind") < 3) | live)
     span = F.struct("start", "kind", "end")
     per = shown.groupBy("__id", "__th").agg(
