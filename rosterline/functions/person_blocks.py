@@ -165,8 +165,9 @@ def _cut_blocks(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def may_hold_names(html: Column) -> Column:
     """Cheap test a page with a full name always passes: Cyrillic capitals and
-    a patronymic ending, or numeric character references that could hide both."""
-    return (html.rlike("[А-ЯЁ]") & html.rlike("ич|на")) | html.contains("&#")
+    a patronymic ending, or character references that could hide both: by number, or
+    by a name of a Cyrillic letter (all of these end in `cy`)."""
+    return (html.rlike("[А-ЯЁ]") & html.rlike("ич|на")) | html.contains("&#") | html.rlike("&[A-Za-z]+cy;")
 
 
 def person_blocks(html: Column) -> Column:

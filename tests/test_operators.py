@@ -221,6 +221,22 @@ def test_every_name_of_a_page_is_a_contact(spark):
     assert X.extract_contacts(pages, max_names=20).count() == 20
 
 
+def test_names_in_character_references_are_found(spark):
+    """Letters by name, by number, and an ampersand in front of a letter."""
+    from html.entities import html5
+
+    by_char = {v: k for k, v in html5.items() if k.endswith("cy;")}
+    plain = ["Громов Иван Олегович", "Зуева Анна Петровна"]
+    named = ["".join(f"&{by_char[c]}" if c in by_char else c for c in n) for n in plain]
+    numbered = ["".join(f"&#{ord(c)};" for c in n) for n in plain]
+    rows = [("https://a.ru", i, f"https://a.ru/{i}", f"<p>AT&T {a}; {b}</p>") for i, (a, b) in enumerate([plain, named, numbered])]
+    pages = spark.createDataFrame(rows, "site_url string, page_ord long, page_url string, html string")
+    found = {}
+    for r in X.extract_contacts(pages).orderBy("page_ord", "contact_ord").collect():
+        found.setdefault(r.page_ord, []).append(r.full_name)
+    assert found == {0: plain, 1: plain, 2: plain}
+
+
 def test_long_page_texts_go_on_in_parts(spark):
     pages = spark.createDataFrame([(1, "u", None, "ab" * 700), (2, "u", "c", ""), (3, "u", "c", None)], "page_ord long, page_url string, company_name string, text string")
     rows = prompts.page_prompts(pages, part_chars=1000).orderBy("page_ord", "part").collect()
