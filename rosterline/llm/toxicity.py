@@ -188,12 +188,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, float, float]:
     """The scorer and its logistic weight and offset.
 
     Corpus counts (the prior) cover every document; labels come from at most
-    TRAIN_ROWS rows, whose ids are broadcast (under 400 kB).
+    TRAIN_ROWS ids, which are broadcast (under 400 kB), and one text of each (the
+    least, if an id stands more than once).  What reaches the driver of them is a
+    label and a number per id.
     """
     chosen = F.broadcast(train_rows(labels))
-    joined = docs.select("doc_id", "text").join(chosen, "doc_id", "left")
-    counts = stored(count_tokens(joined))
-    share = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    marked = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id")
+    sample = stored(marked.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    corpus = count_tokens(docs.select("text", F.lit(None).cast("int").alias("toxic")))
+    labelled = count_tokens(sample).withColumn("n_all", F.lit(0).cast("long"))
+    counts = stored(corpus.unionByName(labelled).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_clean")]))
+    share = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     rows = log_odds(counts, share[0], share[1] - share[0]).orderBy("bucket").toPandas()
     bucket, score = rows["bucket"].to_numpy(dtype=np.int64), rows["score"].to_numpy(dtype=float)
     tokens = rows["n_all"].to_numpy(dtype=float)
@@ -202,25 +207,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, float, float]:
     if len(bucket):
         scorer.decay = fit_decay(score, tokens, max(0.0, n_all - tokens.sum()))
 
-    def best(batches):
-        dense = scorer.table()
-        for batch in batches:
-            found, n = scorer.segments(batch.column(0).to_pylist(), dense)
-            top = [max((s for *_, s in f), default=0.0) for f in found]
-            every = [[s for *_, s in f] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(n), pa.array(top), pa.array(every, pa.list_(pa.float64()))], names=["toxic", "n", "top", "every"]
-            )
+    def measured(measure, kind):
+        """One number per text of the sample, beside its label and length."""
+
+        def run(batches):
+            dense = scorer.table()
+            for batch in batches:
+                found, n = scorer.segments(batch.column(0).to_pylist(), dense)
+                values = [measure(f, m) for f, m in zip(found, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array(values, pa.float64())], names=["toxic", "n", kind])
+
+        return sample.select("text", "toxic").mapInArrow(run, f"toxic int, n long, {kind} double")
 
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
-    seen = sample.mapInArrow(best, "toxic int, n long, top double, every array<double>").toPandas()
-    clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
-    if len(clean):  # the mean of an extreme-value law with this decay: (log(scale * n) + 0.5772) / decay
-        scorer.scale = float(np.exp(np.clip((scorer.decay * clean["top"] - np.log(clean["n"])).mean() - 0.5772, -30, 30)))
+    # the mean of an extreme-value law with this decay: (log(scale * n) + 0.5772) / decay
+    top = measured(lambda f, _: max((s for *_, s in f), default=0.0), "top").filter("toxic = 0 and n > 0")
+    mean = top.agg(F.avg(scorer.decay * F.col("top") - F.ln("n"))).first()[0]
+    if mean is not None:
+        scorer.scale = float(np.exp(np.clip(mean - 0.5772, -30, 30)))
+    seen = measured(scorer.evidence, "x").select("toxic", "x").toPandas()
     if len(seen) == 0 or seen["toxic"].nunique() < 2:
         return scorer, 0.0, float(-3.0 if len(seen) == 0 or seen["toxic"].max() == 0 else 3.0)
-    x = np.array([scorer.evidence([(0, 0, s) for s in e], n) for e, n in zip(seen["every"], seen["n"])])
-    return scorer, *fit_logistic(np.log1p(x), seen["toxic"].to_numpy(dtype=float))
+    return scorer, *fit_logistic(np.log1p(seen["x"].to_numpy()), seen["toxic"].to_numpy(dtype=float))
 
 
 def score_documents(docs: DataFrame, model: tuple[Scorer, float, float]) -> DataFrame:
