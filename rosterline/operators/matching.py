@@ -100,7 +100,7 @@ def fuzzy_dictionary_join(contacts: DataFrame, dictionary: DataFrame | None = No
     distinct = contacts.select("position_raw").filter(F.length(strip_ws(F.col("position_raw"))) > 0).distinct()
     distinct = distinct.withColumn("text", F.lower(strip_ws(F.col("position_raw"))))
     exact = dictionary.groupBy(F.lower("variant").alias("text")).agg(F.min_by("canonical", "ord").alias("_exact"))
-    keyed = distinct.join(exact, "text", "left")
+    keyed = cut_lineage(distinct.join(exact, "text", "left"))
     unknown = keyed.filter("_exact is null").select("text").distinct()
     similar = similar_entries(unknown, dictionary, cutoff).join(
         dictionary.select("ord", F.col("canonical").alias("_similar")), "ord"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.text import empty_to_null, let
 from rosterline.functions.urls import normalize_url, url_host, url_path
-from rosterline.operators.skew import first_by, spread_join
+from rosterline.operators.skew import computed_once, exploded, first_by, spread_join
 
 
 def site_key(url: Column) -> Column:
@@ -49,12 +49,9 @@ def match_sites(rows: DataFrame, sites: DataFrame, page: str, site: str) -> Data
     depth = listed.agg(F.max(F.size(F.split("_key", "/")))).first()[0] or 1
     pairs = rows.select(F.col(page).alias("_page"), F.col(site).alias("_site")).distinct()
 
-    def keys(url: str, rank: int) -> Column:
-        found = F.coalesce(key_prefixes(site_key(F.col(url)), depth), F.array().cast("array<string>"))
-        return F.transform(found, lambda k: F.struct(F.lit(rank).alias("rank"), k.alias("key")))
-
-    asked = pairs.select("_page", "_site", F.explode(F.concat(keys("_page", 1), keys("_site", 0))).alias("_ask"))
-    asked = asked.select("_page", "_site", F.col("_ask.rank").alias("_rank"), F.col("_ask.key").alias("_key"))
+    keyed_pairs = computed_once(pairs, {"_keys": F.array(site_key(F.col("_site")), site_key(F.col("_page")))})
+    ranked = exploded(keyed_pairs, ["_page", "_site"], F.col("_keys"), "_rank", "_whole").filter("_whole is not null")
+    asked = exploded(ranked, ["_page", "_site", "_rank"], key_prefixes(F.col("_whole"), depth), "_depth", "_key").drop("_depth")
     hits = spread_join(asked, listed, ["_key"], "inner", ["_page", "_site"])
     entry = F.struct("listed_url", "listed_ord", "site_company", "site_inn")
     best = hits.groupBy("_page", "_site").agg(F.max_by(entry, F.struct("_rank", F.length("_key"))).alias("_entry"))

@@ -3,14 +3,16 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterline.functions.urls import normalize_url
 from rosterline.operators.blocklist import block_domains
 from rosterline.operators.dedup import dedup_merge, dedup_name_email_phone, normalize_final
 from rosterline.operators.enrich import (
     apply_corrections, fill_from_page_text, input_company_wins, propagate_site_fields,
 )
 from rosterline.operators.extraction import extract_contacts
-from rosterline.operators.pages import cap_pages_per_site, drop_captcha_pages, drop_failed_fetches, first_pages, robots_filter
+from rosterline.operators.pages import cap_pages_per_site, drop_captcha_pages, drop_failed_fetches, robots_filter
 from rosterline.operators.site_keys import join_sites
+from rosterline.operators.skew import first_by
 from rosterline.session import cut_lineage
 
 #: Page keys that are broadcast at most, about 200 bytes each.
@@ -36,7 +38,7 @@ def pages_to_read(
         keys = block_domains(keys, "site_url", blocklist, ["page_ord"])
     if robots is not None:
         keys = robots_filter(keys, robots)
-    keys = keys.join(first_pages(keys), ["site_url", "page_ord"], "left_semi")
+    keys = first_by(keys.withColumn("_url", normalize_url(F.col("page_url"))), [F.col("site_url"), F.col("_url")], ["page_ord"])
     if page_limit is not None:
         keys = cap_pages_per_site(keys, ["page_ord"], page_limit)
     return keys.select(F.col("found_site").alias("site_url"), "page_ord", F.col("site_url").alias("listed_url"), "site_company", "site_inn")
