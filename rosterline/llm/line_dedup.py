@@ -3,12 +3,12 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import documents, mix64, null_safe, odd_constants, query, row_key, stored
+from rosterline.llm.common import documents, mix64, null_safe, odd_constants, query, row_key, stored, text_chunks
 from rosterline.llm.components import components
-from rosterline.operators.skew import exploded
 
 SHINGLE = 8
 BANDS = 10
@@ -20,8 +20,10 @@ KIN = 0.5
 REST = KIN + 1 - SIMILARITY + 1e-9
 #: Lines of a group that one task holds on either side, and bits of a line's shingle map.
 BLOCK, MAP_BITS = 1024, 1024
-#: Characters hashed at once.
-CHUNK = 1 << 20
+#: Characters hashed at once: their hashes should stay in a core's cache.
+CHUNK = 1 << 16
+#: White space around a line.
+BLANK = " \t\n\x0b\f\r"
 
 _SALTS = odd_constants(BANDS * ROWS, 31, 32)
 _FACTORS = odd_constants(BANDS * ROWS, 32, 32)
@@ -33,38 +35,96 @@ def band_keys(lines: list[str]) -> np.ndarray:
     A line shorter than SHINGLE characters is one shingle.  Lines of similarity s
     share a key with probability 1 - (1 - s^4)^10: 0.995 at 0.8, 0.9998 at 0.9.
     """
-    out = np.empty((len(lines), BANDS), dtype=np.uint64)
-    at = 0
+    least, at = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint32), 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) <= CHUNK):
             size += len(lines[end])
             end += 1
-        out[at:end] = _band_keys(lines[at:end])
+        _least_hashes(lines[at:end], least[:, at:end])
         at = end
-    return out
+    keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(BANDS * ROWS):
+            keys[:, i // ROWS] = mix64(keys[:, i // ROWS] + least[i] + np.uint64(i + 1))
+    return keys
 
 
-def _band_keys(lines: list[str]) -> np.ndarray:
-    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    pad = "\0" * SHINGLE
-    chars = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+def _least_hashes(lines: list[str], out: np.ndarray) -> None:
+    """The least of the hashes of every line's shingles, for each of the hash functions."""
+    chars, places, offsets = _shingle_places(lines)
     with np.errstate(over="ignore"):
-        h, width = chars * np.uint64(0x9E3779B97F4A7C15), 1
+        h, width = chars.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
         while width < SHINGLE:
             factor = np.uint64(pow(0x9E3779B97F4A7C15, 3 * width, 1 << 64))
             h = h[: len(h) - width] * factor + h[width:]
             width *= 2
-        counts = np.maximum(1, lengths - SHINGLE + 1)
-        starts = np.concatenate(([0], np.cumsum(lengths + SHINGLE)[:-1]))
-        offsets = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        places = np.arange(counts.sum()) + np.repeat(starts - offsets, counts)
         h = (mix64(h[places]) >> np.uint64(32)).astype(np.uint32)
-        keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
+        salted = np.empty_like(h)
         for i in range(BANDS * ROWS):
-            least = np.minimum.reduceat((h ^ _SALTS[i]) * _FACTORS[i], offsets)
-            keys[:, i // ROWS] = mix64(keys[:, i // ROWS] + least + np.uint64(i + 1))
-    return keys
+            np.bitwise_xor(h, _SALTS[i], out=salted)
+            np.multiply(salted, _FACTORS[i], out=salted)
+            np.minimum.reduceat(salted, offsets[:-1], out=out[i])
+
+
+def _shingle_places(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all lines, SHINGLE zeros behind each, the places there at which
+    shingles start, and the numbers of the lines' first shingles (and of all shingles)."""
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    pad = "\0" * SHINGLE
+    chars = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    counts = np.maximum(1, lengths - SHINGLE + 1)
+    starts = np.concatenate(([0], np.cumsum(lengths + SHINGLE)[:-1]))
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], counts)
+    return chars, places, offsets
+
+
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets): the different shingles of each line as ascending numbers, one line behind the other.
+
+    Equal numbers are equal shingles, no hashes: a character is its rank in the
+    alphabet of these lines, and SHINGLE ranks under 256 make a 64-bit number.  A
+    larger alphabet is ranked by pairs, pairs of pairs and so on.
+    """
+    chars, places, offsets = _shingle_places(lines)
+    there = np.bincount(chars) > 0
+    ranks = np.cumsum(there).astype(np.uint64)
+    h, width = ranks[chars], 1
+    ends = np.concatenate((places[offsets[1:-1]], [len(chars)])) - SHINGLE
+    h[(ends[:, None] + np.arange(SHINGLE)).reshape(-1)] = 0  # what stands behind a line is no character
+    wide = ranks[-1] > 255
+    while width < SHINGLE:
+        h = (h[: len(h) - width] << np.uint64(32 if wide else 8 * width)) | h[width:]
+        if wide:
+            h = np.unique(h, return_inverse=True)[1].astype(np.uint64)
+        width *= 2
+    return _different(h[places], offsets)
+
+
+def _different(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every range sorted, in place, without repeats."""
+    for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        codes[start:end].sort()
+    fresh = np.concatenate(([True], codes[1:] != codes[:-1]))
+    fresh[offsets[:-1]] = True
+    return codes[fresh], np.concatenate(([0], np.cumsum(np.add.reduceat(fresh, offsets[:-1], dtype=np.int64))))
+
+
+def similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """Exact similarity of left[i] and right[i], for every i."""
+    out, at = np.empty(len(left)), 0
+    while at < len(left):
+        end, size = at, 0
+        while end < len(left) and (end == at or size <= CHUNK):
+            size += len(left[end]) + len(right[end])
+            end += 1
+        codes, offsets = shingle_codes([x for pair in zip(left[at:end], right[at:end]) for x in pair])
+        either = np.diff(_different(codes, offsets[::2])[1])
+        both = np.diff(offsets[::2]) - either
+        out[at:end] = both / either
+        at = end
+    return out
 
 
 def shingles(line: str) -> set:
@@ -88,15 +148,24 @@ def alike_links(left: list[str], right: list[str], same: bool, apart: np.ndarray
     alike, and are not yet connected, are compared as sets.
     """
     lines = left if same else left + right
-    sets = [shingles(x) for x in lines]
-    sizes = np.array([len(x) for x in sets])
+    if not lines:
+        return []
+    codes, offsets = shingle_codes(lines)
+    sizes = np.diff(offsets)
+    sets = [codes[start:end] for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     bits = np.zeros((len(lines), MAP_BITS), dtype=np.uint8)
-    for i, x in enumerate(sets):
-        bits[i, [hash(g) % MAP_BITS for g in x]] = 1
+    bits[np.repeat(np.arange(len(lines)), sizes), mix64(codes) % np.uint64(MAP_BITS)] = 1
     maps = np.packbits(bits, axis=1).view(np.uint64)
     first = 0 if same else len(left)
     label = np.arange(len(lines))
     pairs = []
+
+    def alike(a, b):
+        two = np.concatenate((a, b))
+        two.sort()
+        both = int(np.count_nonzero(two[1:] == two[:-1]))
+        return both / (len(two) - both) >= SIMILARITY
+
     for i in range(len(left)):
         start = i + 1 if same else first
         if start >= len(lines):
@@ -108,20 +177,68 @@ def alike_links(left: list[str], right: list[str], same: bool, apart: np.ndarray
         if apart is not None:
             fit &= apart[start:] != apart[i]
         for j in np.flatnonzero(fit) + start:
-            if label[j] != label[i] and jaccard(sets[i], sets[j]) >= SIMILARITY:
+            if label[j] != label[i] and alike(sets[i], sets[j]):
                 pairs.append((i, int(j) - first))
                 label[label == label[j]] = label[i]
     return pairs
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(__id, __th, line, norm) of every line with a word; `norm` is what is compared."""
-    rows = exploded(
-        docs.select(*row_key(F.col(text), F.col(doc_id)), F.col(text).alias("__text")),
-        ["__id", "__th"], F.split("__text", "\n"), "line", "raw",
+    """(__id, __th, n_lines, line, id, norm, keys) of every line with a word.
+
+    `norm` is what is compared, `id` its `line_id` and `keys` its band keys; norm
+    and keys are given once per task, null and empty where the task has given them
+    already.  `n_lines`, the number of such lines, stands in one row of every
+    document; that row has a null line and id if there are none.
+    """
+
+    def split(batches):
+        given: set = set()
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            if len(given) > 1_000_000:  # repeats only cost time
+                given.clear()
+            for low, high in text_chunks(texts):
+                rows, totals, places, ids, norms, fresh = [], [], [], [], [], []
+                for i in range(low, high):
+                    before = len(rows)
+                    for place, raw in enumerate((texts[i] or "").split("\n")):
+                        norm = raw.strip(BLANK).lower()
+                        if not norm:
+                            continue
+                        x = xxhash.xxh64_intdigest(norm.encode("utf-8", "surrogatepass"), _ID_SEED)
+                        known = x in given
+                        if not known:
+                            given.add(x)
+                            fresh.append(norm)
+                        rows.append(i)
+                        totals.append(None)
+                        places.append(place)
+                        ids.append(x - (x >> 63 << 64))
+                        norms.append(None if known else norm)
+                    if len(rows) == before:
+                        for some, x in zip((rows, totals, places, ids, norms), (i, 0, None, None, None)):
+                            some.append(x)
+                    else:
+                        totals[before] = len(rows) - before
+                each = np.fromiter((0 if x is None else BANDS for x in norms), dtype=np.int32, count=len(norms))
+                ends = np.concatenate(([0], np.cumsum(each))).astype(np.int32)
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(totals, pa.int64()),
+                    pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.array(norms, pa.string()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(fresh).reshape(-1).view(np.int64))),
+                ], names=["__id", "__th", "n_lines", "line", "id", "norm", "keys"])
+
+    kind = dict(docs.dtypes)[doc_id]
+    rows = docs.select(*row_key(F.col(text), F.col(doc_id)), F.col(text).alias("__text"))
+    return rows.mapInArrow(
+        split, f"__id {kind}, __th long, n_lines long, line int, id long, norm string, keys array<long>"
     )
-    norm = F.lower(F.btrim("raw", F.lit(" \t\n\x0b\f\r")))
-    return rows.select("__id", "__th", "line", norm.alias("norm")).filter("norm <> ''")
+
+
+#: What `line_id` hashes a line with: the hash of its leading zero.
+_ID_SEED = xxhash.xxh64_intdigest(bytes(4), 42)
 
 
 def line_id() -> Column:
@@ -132,28 +249,12 @@ def buckets(lines: DataFrame) -> DataFrame:
     """(band, rep, id): the lines of every band key that different lines share,
     beside one of them, picked by a hash that differs from band to band."""
 
-    def keys(batches):
-        seen: set = set()
-        for batch in batches:
-            ids, norms, fresh = batch.column(0).to_pylist(), batch.column(1), []
-            if len(seen) > 1_000_000:  # repeats only cost time, the window below drops them
-                seen.clear()
-            for i, x in enumerate(ids):
-                if x not in seen:
-                    seen.add(x)
-                    fresh.append(i)
-            if not fresh:
-                continue
-            texts = norms.take(pa.array(fresh)).to_pylist()
-            found = band_keys(texts)
-            own = np.repeat(np.array([ids[i] for i in fresh], dtype=np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), pa.array(own)], names=["band", "id"])
-
-    rows = lines.select(line_id(), "norm").mapInArrow(keys, "band long, id long")
-    band = Window.partitionBy("band")
-    pick = F.min(F.struct(F.xxhash64("band", "id"), "id")).over(band)
-    shared = rows.select("band", "id", pick.alias("pick"), (F.min("id").over(band) < F.max("id").over(band)).alias("many"))
-    return shared.filter("many").select("band", F.col("pick.id").alias("rep"), "id").distinct()
+    rows = lines.select("id", F.explode("keys").alias("band")).repartition("band")
+    ends = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    many = ends.filter("least < most").select("band")
+    shared = rows.join(many.hint("shuffle_hash"), "band")
+    pick = F.min(F.struct(F.xxhash64("band", "id"), "id")).over(Window.partitionBy("band"))
+    return shared.select("band", pick["id"].alias("rep"), "id").distinct()
 
 
 def similar_links(lines: DataFrame) -> DataFrame:
@@ -170,23 +271,14 @@ def similar_links(lines: DataFrame) -> DataFrame:
     makes no rows in the square of its size.  The rest of one bucket that is also
     the rest of another is compared once.
     """
-    members = stored(buckets(lines))
+    members = stored(buckets(lines), swept=True)
     wanted = members.select("id").union(members.select("rep")).distinct()
-    texts = stored(
-        lines.select(line_id(), "norm").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm"))
-    )
+    shown = lines.filter("norm is not null").select(line_id(), "norm")
+    texts = stored(shown.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")), swept=True)
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        found, known = [], {}
-        for x, y in zip(a, b):
-            if len(known) > 64:  # neighbouring rows often share a line; more would only take memory
-                known.clear()
-            for t in (x, y):
-                if t not in known:
-                    known[t] = shingles(t)
-            found.append(jaccard(known[x], known[y]))
-        return pd.Series(found, dtype=float)
+        return pd.Series(similarities(a.tolist(), b.tolist()))
 
     def measured(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("norm").alias("text_a"))
@@ -222,40 +314,40 @@ def similar_links(lines: DataFrame) -> DataFrame:
         .select("id", "norm", "rest", "group", "family", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        one, two = group["one"].iloc[0], group["two"].iloc[0]
-        left, right = group[group["mine"] == one], group[group["mine"] == two]
-        apart = None
-        if group["rest"].iloc[0]:
-            apart = (left if one == two else pd.concat([left, right]))["family"].to_numpy()
-        pairs = alike_links(left["norm"].tolist(), right["norm"].tolist(), one == two, apart)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        return pd.DataFrame({"a": [a[i] for i, _ in pairs], "b": [b[j] for _, j in pairs]}, dtype="int64")
-
-    found = dealt.groupBy("rest", "group", "one", "two").applyInPandas(compare, "a long, b long")
+    def compare(group: pa.Table) -> pa.Table:
+        id_, rest, family, mine, one, two = (
+            group[c].to_numpy() for c in ("id", "rest", "family", "mine", "one", "two")
+        )
+        left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+        same, norms = bool(one[0] == two[0]), group["norm"].to_pylist()
+        apart = family[left if same else np.concatenate((left, right))] if rest[0] else None
+        pairs = alike_links([norms[i] for i in left], [norms[i] for i in right], same, apart)
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": id_[left[a]], "b": id_[right[b]]})
+
+    found = dealt.groupBy("rest", "group", "one", "two").applyInArrow(compare, "a long, b long")
     return near.filter(F.col("s") >= SIMILARITY).select("a", "b").union(found)
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__id, __th, dropped): the line numbers of every document that go.
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(__id, __th, dropped): the line numbers of every document that go, by the stored `document_lines`.
 
     Of each component of alike lines the first stays, by doc_id (null last), text
     hash and line number.  Lines are compared in lower case without blanks around
     them; lines without a word are never compared and stay.  Rows that share
     doc_id and text count as one document.
     """
-    lines = document_lines(docs, doc_id, text)
     place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__th", "line")
-    seen = stored(lines.select(line_id(), place.alias("place")).distinct())
-    first = seen.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    seen = lines.filter("id is not null").select("id", place.alias("place"))
+    first = seen.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     label = components(similar_links(lines)).select(F.col("node").alias("id"), "component")
-    classed = first.join(label, "id", "left").filter("n > 1 or component is not null")
-    classed = stored(classed.select("id", "first", F.coalesce("component", "id").alias("class")))
+    classed = first.join(label, "id", "left").filter("first < last or component is not null")
+    classed = stored(classed.select("id", "first", F.coalesce("component", "id").alias("class")), swept=True)
     keep = classed.groupBy("class").agg(F.min("first").alias("keep"))
     doomed = seen.join(classed.join(keep, "class").select("id", "keep"), "id").filter("place <> keep")
     return (
         doomed.groupBy(F.col("place.__id").alias("__id"), F.col("place.__th").alias("__th"))
-        .agg(F.sort_array(F.collect_list("place.line")).alias("dropped"))
+        .agg(F.sort_array(F.collect_set("place.line")).alias("dropped"))
     )
 
 
@@ -265,10 +357,9 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Null and empty texts have no lines.  Repeated rows share their result; other
     columns are ignored; an empty table gives an empty table.
     """
-    spaces = F.lit(" \t\n\x0b\f\r")
-    full = F.filter(F.split(F.col(text), "\n"), lambda line: F.length(F.btrim(line, spaces)) > 0)
-    rows = docs.select(*row_key(F.col(text), F.col(doc_id)), F.coalesce(F.size(full), F.lit(0)).cast("long").alias("n_lines"))
-    joined = null_safe(rows, repeated_lines(docs, doc_id, text), ["__id", "__th"], "left")
+    lines = stored(document_lines(docs, doc_id, text))
+    rows = lines.filter("n_lines is not null").select("__id", "__th", "n_lines")
+    joined = null_safe(rows, repeated_lines(lines), ["__id", "__th"], "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return joined.select(
         F.col("__id").alias("doc_id"), "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped_lines")
@@ -290,7 +381,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         return pd.Series([one(t, d) for t, d in zip(texts, dropped)], dtype=object)
 
     rows = docs.select(F.struct("*").alias("row"), *row_key(F.col("text"), F.col("doc_id")))
-    joined = null_safe(rows, repeated_lines(docs), ["__id", "__th"], "left")
+    joined = null_safe(rows, repeated_lines(stored(document_lines(docs, "doc_id", "text"))), ["__id", "__th"], "left")
     joined = joined.withColumn("__new", F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(
         cut(F.coalesce("row.text", F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))
     ))

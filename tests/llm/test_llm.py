@@ -238,6 +238,40 @@ def test_a_bucket_of_unlike_lines_is_compared_with_all_pairs(spark, monkeypatch,
     assert len(want) > 50 and union(len(lines), got) == union(len(lines), want)
 
 
+def test_line_dedup_reads_every_text_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    texts = [f"{line(i % 7)}\n \n{line(100 + i)}" for i in range(40)]
+
+    def text(i):
+        reads.add(1)
+        return texts[i]
+
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(text, "string")("id").alias("text"))
+    got = {r["doc_id"]: (r["n_lines"], r["dropped_lines"]) for r in line_dedup.line_report(df).collect()}
+    assert got == {i: (2, [] if i < 7 else [0]) for i in range(40)}
+    assert reads.value == 40
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abc \0\x01", "".join(map(chr, range(256))), "".join(map(chr, range(0x4E00, 0x5300))), "aß😀\U0010FFFF"])
+def test_similarities_and_band_keys_of_odd_lines(alphabet, monkeypatch):
+    rng = np.random.RandomState(len(alphabet))
+    left = ["".join(alphabet[i] for i in rng.randint(len(alphabet), size=n)) for n in [1, 7, 8, 9, 30, 200] * 33]
+    right = [x[:rng.randint(len(x)) + 1] + ("", "\0", x[-1], x)[rng.randint(4)] for x in left]
+    want = [line_dedup.jaccard(line_dedup.shingles(a), line_dedup.shingles(b)) for a, b in zip(left, right)]
+    assert line_dedup.similarities(left, right).tolist() == want and len(line_dedup.similarities([], [])) == 0
+    keys = line_dedup.band_keys(left)
+    monkeypatch.setattr(line_dedup, "CHUNK", 50)
+    assert (line_dedup.band_keys(left) == keys).all() and line_dedup.similarities(left, right).tolist() == want
+
+
+def test_line_ids_and_keys_are_given_once_per_task(odd):
+    rows = line_dedup.document_lines(odd.coalesce(1), "doc_id", "text").withColumn("again", line_dedup.line_id()).collect()
+    lines = [r for r in rows if r["id"] is not None]
+    assert all((r["norm"] is None) == (r["keys"] == []) and r["norm"] in (None, "") or r["again"] == r["id"] for r in lines)
+    assert Counter(r["id"] for r in lines if r["norm"]) == Counter({r["id"] for r in lines})
+    assert sum(r["n_lines"] is not None for r in rows) == odd.count() and sum(r["n_lines"] or 0 for r in rows) == len(lines)
+
+
 # --- SimHash ---------------------------------------------------------------------
 
 def slow_fingerprint(text):
