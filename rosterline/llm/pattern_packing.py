@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import documents, query, ranked, stored, text_chunks
+from rosterline.llm.common import documents, query, ranked, stored
 from rosterline.llm.tokens import bpe, memory, remembered
 
 CAPACITY = 4096
@@ -17,6 +18,8 @@ END = 1
 SHARES = (1, 4, 16)
 #: ASCII signs that end a word, without the apostrophe.
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+#: Words encoded in one call: what it returns takes about a kilobyte a word.
+ENCODED = 1 << 13
 #: Rounds of the least-squares fit; a fit ends earlier when no pattern lowers the error by much.
 ROUNDS = 30
 
@@ -36,6 +39,42 @@ def parts(word: bytes) -> tuple[bytes, bytes]:
     return (body, word[len(body):]) if letter else (word, b"")
 
 
+def size_chunks(sizes: np.ndarray, most: int = 1 << 21):
+    """Ranges of consecutive texts of at most about `most` bytes, or one text."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, end
+        at = end
+
+
+def word_runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(runs, first): the runs without white space of all texts, each different one once in the
+    dictionary, and the number of every text's first run.  Null texts have no runs; an empty run
+    stands where white space begins or ends a text, and for an empty text."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    runs = split.flatten().cast(pa.large_binary()).dictionary_encode()
+    return runs, np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def gathered(found: list[bytes], runs: np.ndarray, first: np.ndarray, last: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, limits): the ids of all texts, `last` behind each, and where every text starts.
+
+    `found` holds the ids of each different run, `runs` the numbers of the texts'
+    runs in order, `first` the place there of each text's first one.
+    """
+    pool = np.frombuffer(b"".join([*found, last]), dtype="<u4")
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    starts = np.cumsum(sizes) - sizes
+    order = np.insert(runs.astype(np.int64), first[1:], len(found))
+    sizes, starts = np.append(sizes, 1)[order], np.append(starts, len(pool) - 1)[order]
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    limits = np.concatenate(([0], ends[first[1:] + np.arange(len(first) - 1)]))
+    return pool[places], limits
+
+
 def word_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of every whole text and `end`, cut only where over `capacity`.
 
@@ -45,8 +84,12 @@ def word_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id
     """
 
     def encoded(words: list) -> list:
-        found = bpe(tokenizer).encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        out = []
+        for at in range(0, len(words), ENCODED):
+            some = [w.decode("utf-8", "surrogatepass") for w in words[at:at + ENCODED]]
+            found = bpe(tokenizer).encode_batch_fast(some, add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return out
 
     def joined(words: list) -> list:
         cut = [parts(w) for w in words]
@@ -54,25 +97,30 @@ def word_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id
         return [known[body] + known[tail] for body, tail in cut]
 
     def cut(batches):
-        known, last, step = memory("ids", tokenizer), np.array([end], dtype="<u4").tobytes(), 4 * capacity
+        known, last = memory("ids", tokenizer), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for low, high in text_chunks(texts):
-                rows, numbers, starts, lengths, sums = [], [], [], [], []
-                words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[low:high]]
-                remembered(known, [w for some in words for w in some], joined)
-                for i, some in enumerate(words):
-                    data = b"".join([known[w] for w in some]) + last
-                    for number, at in enumerate(range(0, len(data), step)):
-                        part = data[at:at + step]
-                        rows.append(low + i)
-                        numbers.append(number)
-                        starts.append(at // 4)
-                        lengths.append(len(part) // 4)
-                        sums.append(zlib.crc32(part))
+            ids, texts = batch.column(0), batch.column(1)
+            for low, high in size_chunks(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                some = texts.slice(low, high - low)
+                if not pc.any(pc.match_substring(some, "<|")).as_py():  # as in `parts`
+                    some = pc.ascii_lower(some)
+                runs, first = word_runs(some)
+                words = [w or b"" for w in runs.dictionary.to_pylist()]
+                remembered(known, words, joined)
+                found = [known[w] for w in words]
+                data, limits = gathered(found, runs.indices.to_numpy(), first, last)
+                lengths = np.diff(limits)
+                pieces = -(-lengths // capacity)
+                rows = np.repeat(np.arange(low, high), pieces)
+                numbers = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                starts = numbers * capacity
+                sizes = np.minimum(lengths[rows - low] - starts, capacity)
+                at = limits[rows - low] + starts
+                view = memoryview(data.view(np.uint8))
+                sums = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + sizes).tolist())]
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()),
-                    pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()),
+                    pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
                 ], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[doc_id]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as public
 import sentencepiece
@@ -179,6 +180,23 @@ def test_pattern_packing(table, request):
     assert len(placed) <= need * 1.02 + 1 and sorted(placed) == list(range(len(placed)))
 
 
+@pytest.mark.parametrize("table", [[], [None], ["", None, ""], [" a\tb\x0bc\x0c d\r\n", None, "a\x1cb\x1fc\x85d", "", "a  é a", "\n", "中 x y"]])
+def test_runs_of_many_texts_are_looked_up_once(table):
+    runs, first = packing.word_runs(pa.array(["out", *table, "out"], pa.string()).slice(1, len(table)))
+    known = runs.dictionary.to_pylist()
+    assert len(known) == len(set(known)) and set(known) - {b""} == {w for t in table for w in (t or "").encode().split()}
+    ids = [b"".join(np.uint32(10 * i + k).tobytes() for k in range(i % 3 if w else 0)) for i, w in enumerate(known)]
+    data, limits = packing.gathered(ids, runs.indices.to_numpy(), first, np.uint32(1).tobytes())
+    of = dict(zip(known, ids))
+    want = [b"".join(of[w] for w in (t or "").encode().split()) + np.uint32(1).tobytes() for t in table]
+    assert [data[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:])] == want
+    sizes = np.array([len(t or "") for t in table], dtype=np.int64)
+    for most in (1, 5, 100):
+        ranges = list(packing.size_chunks(sizes, most))
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(len(table)))
+        assert all(b == a + 1 or sizes[a:b].sum() <= most for a, b in ranges)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 300)), st.sets(st.integers(0, 300)))
 def test_gallop(a, b):
