@@ -3,11 +3,12 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import documents, mix64, null_safe, odd_constants, query, row_key, stored, text_chunks
+from rosterline.llm.common import documents, mix64, null_safe, odd_constants, query, row_key, stored
 from rosterline.llm.components import components
 
 SHINGLE = 8
@@ -20,6 +21,8 @@ KIN = 0.5
 REST = KIN + 1 - SIMILARITY + 1e-9
 #: Lines of a group that one task holds on either side, and bits of a line's shingle map.
 BLOCK, MAP_BITS = 1024, 1024
+#: Characters that the lines of one side should have in all.
+BLOCK_CHARS = 1 << 20
 #: Characters hashed at once: their hashes should stay in a core's cache.
 CHUNK = 1 << 16
 #: White space around a line.
@@ -84,12 +87,31 @@ def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, offsets): the different shingles of each line as ascending numbers, one line behind the other.
 
     Equal numbers are equal shingles, no hashes: a character is its rank in the
-    alphabet of these lines, and SHINGLE ranks under 256 make a 64-bit number.  A
-    larger alphabet is ranked by pairs, pairs of pairs and so on.
+    alphabet of these lines, and SHINGLE ranks under 256 make a 64-bit number, made
+    of a few lines at once.  A larger alphabet is ranked by pairs, pairs of pairs
+    and so on, over all lines.
     """
-    chars, places, offsets = _shingle_places(lines)
-    there = np.bincount(chars) > 0
+    there, parts, at = np.ones(1, dtype=bool), [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) <= CHUNK):
+            size += len(lines[end])
+            end += 1
+        parts.append(lines[at:end])
+        here = np.bincount(np.frombuffer(("".join(parts[-1]) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")) > 0
+        there, here = sorted((there, here), key=len, reverse=True)
+        there[:len(here)] |= here
+        at = end
     ranks = np.cumsum(there).astype(np.uint64)
+    if ranks[-1] > 255 or len(parts) < 2:
+        return _codes(lines, ranks)
+    codes, offsets = zip(*(_codes(part, ranks) for part in parts))
+    counts = np.concatenate([np.diff(x) for x in offsets])
+    return np.concatenate(codes), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _codes(lines: list[str], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    chars, places, offsets = _shingle_places(lines)
     h, width = ranks[chars], 1
     ends = np.concatenate((places[offsets[1:-1]], [len(chars)])) - SHINGLE
     h[(ends[:, None] + np.arange(SHINGLE)).reshape(-1)] = 0  # what stands behind a line is no character
@@ -195,14 +217,13 @@ def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def split(batches):
         given: set = set()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
             if len(given) > 1_000_000:  # repeats only cost time
                 given.clear()
-            for low, high in text_chunks(texts):
+            for low, high in _text_ranges(batch.column(2)):
                 rows, totals, places, ids, norms, fresh = [], [], [], [], [], []
-                for i in range(low, high):
+                for i, text in enumerate(batch.column(2).slice(low, high - low).to_pylist(), low):
                     before = len(rows)
-                    for place, raw in enumerate((texts[i] or "").split("\n")):
+                    for place, raw in enumerate((text or "").split("\n")):
                         norm = raw.strip(BLANK).lower()
                         if not norm:
                             continue
@@ -237,6 +258,16 @@ def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _text_ranges(texts: pa.Array, size: int = 1 << 20):
+    """Ranges of consecutive texts of about `size` bytes: only these stand as Python strings at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, end
+        at, before = end, ends[end - 1]
+
+
 #: What `line_id` hashes a line with: the hash of its leading zero.
 _ID_SEED = xxhash.xxh64_intdigest(bytes(4), 42)
 
@@ -306,8 +337,10 @@ def similar_links(lines: DataFrame) -> DataFrame:
     others = far.join(rests, "band").select(F.lit(True).alias("rest"), F.col("band").alias("group"), "id", "family")
 
     groups = stored(inside.union(others))
-    sizes = groups.groupBy("rest", "group").agg(F.count(F.lit(1)).alias("n")).filter("rest or n > 2")
-    wide = groups.join(sizes, ["rest", "group"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    lengths = texts.select("id", F.length("norm").alias("length"))
+    sizes = groups.join(lengths, "id").groupBy("rest", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("n"), F.col("chars") / BLOCK_CHARS))).cast("int")
+    wide = groups.join(sizes.filter("rest or n > 2"), ["rest", "group"]).withColumn("blocks", blocks)
     dealt = (
         wide.join(texts, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -376,14 +409,14 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     def cut(texts: pd.Series, dropped: pd.Series) -> pd.Series:
         def one(t, d):
             gone = set(d)
-            return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone)
+            return t and "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone)
 
         return pd.Series([one(t, d) for t, d in zip(texts, dropped)], dtype=object)
 
     rows = docs.select(F.struct("*").alias("row"), *row_key(F.col("text"), F.col("doc_id")))
     joined = null_safe(rows, repeated_lines(stored(document_lines(docs, "doc_id", "text"))), ["__id", "__th"], "left")
     joined = joined.withColumn("__new", F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(
-        cut(F.coalesce("row.text", F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))
+        cut(F.when(F.col("dropped").isNotNull(), F.coalesce("row.text", F.lit(""))), F.coalesce("dropped", F.array().cast("array<int>")))
     ))
     kinds = dict(docs.dtypes)
     changed = {"text": F.col("__new"), "n_chars": F.length("__new").cast(kinds.get("n_chars", "long"))}

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import WORD, documents, null_safe, query, ranked, stored
+from rosterline.llm.common import WORD, documents, null_safe, one_key, query, ranked, stored
 
 WEIGHTS = [5, 2, 1]
 SHARE = 1.5
@@ -137,17 +137,20 @@ def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them (none to CAP times), columns unchanged."""
+    """The documents as often as the mix takes them (none to CAP times), columns unchanged.
+
+    Whole rows are dealt out once, by the key that the copies are counted by.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     keyed = docs.select(
-        F.struct("*").alias("row"), F.xxhash64(F.lit(0), *docs.columns).alias("__h"), F.col("doc_id").alias("__id"),
+        F.struct("*").alias("row"), F.xxhash64(F.lit(0), *docs.columns).alias("__h"), one_key(F.col("doc_id")).alias("__id"),
         F.col("source").alias("source"), size.alias("size"),
     )
-    taken = mix(stored(keyed.select("__h", "__id", "source", "size")))
+    taken = mix(stored(keyed.select("__h", F.col("__id.value").alias("__id"), "source", "size")))
     # rows alike in every column are told apart by nothing: their copies are added and dealt to one of them
-    number = taken.groupBy("__h", "__id").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    number = taken.groupBy("__h", one_key(F.col("__id")).alias("__id")).agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
     alike = keyed.select("row", "__h", "__id").dropDuplicates(["__h", "__id"])
-    joined = null_safe(alike, number, ["__h", "__id"], "inner")
+    joined = alike.join(number, ["__h", "__id"])
     return joined.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("__c")).select("row.*")
 
 

@@ -156,9 +156,9 @@ def judge_quality(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
     measured = stored(counted.withColumn("base_failed", failed))
     limits = adaptive_thresholds(measured, "row.lang", "row.source")
-    wide = limits.groupBy("lang", "source").pivot("feature", sorted(LEAST_SPREAD)).agg(
+    wide = stored(limits.groupBy("lang", "source").pivot("feature", sorted(LEAST_SPREAD)).agg(
         F.first(F.struct("low", "high"))
-    )
+    ))  # of known size: a small one is broadcast before the documents are dealt out
     keyed = measured.withColumns({"lang": F.col("row.lang"), "source": F.col("row.source")})
     joined = null_safe(keyed, wide, ["lang", "source"], "left")
     inside = F.lit(True)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import documents, null_safe, query, stored
+from rosterline.llm.common import documents, one_key, query, stored
 from rosterline.llm.components import components
 
 RADIUS = 4
@@ -18,6 +18,8 @@ SAMPLE = 32768
 #: Fingerprints that one leaf, and one comparison task group, should hold.
 LEAF = 512
 BLOCK = 2048
+#: Texts that a worker holds as Python strings.
+AT_ONCE = 256
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -47,11 +49,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input as a struct `row` (with `text` only if it is in it) and its fingerprint `fp` as a signed long."""
+    """The input with the fingerprint `fp` of its texts as a signed long."""
 
-    @F.pandas_udf("long")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fingerprints(texts: pa.Array) -> pa.Array:
+        out = np.empty(len(texts), dtype=np.uint64)
+        for at in range(0, len(texts), AT_ONCE):
+            part = texts.slice(at, AT_ONCE).to_pylist()
+            out[at:at + len(part)] = [fingerprint(t) for t in part]
+        return pa.array(out.view(np.int64))
 
     return docs.withColumn("fp", fingerprints(F.col(text)))
 
@@ -208,15 +214,20 @@ def label_rows(rows: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of every component (smallest doc_id, then smallest text hash), columns unchanged."""
-    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    row_hash = F.xxhash64(F.lit(0), *[F.col(f"row.{c}") for c in docs.columns])
-    rows = stored(with_fingerprint(whole).select("row", "fp", row_hash.alias("__rh")))
-    labelled = label_rows(rows.select(F.col("row.doc_id").alias("doc_id"), "fp", "__rh"))
+    """One document of every component (smallest doc_id, then smallest row hash), columns unchanged.
+
+    Fingerprints are stored beside a row's id and hash only, and whole rows are
+    dealt out once: rows alike in both are folded, then those to keep are picked.
+    """
+    whole = docs.select(
+        F.struct("*").alias("row"), one_key(F.col("doc_id")).alias("__id"), F.xxhash64(F.lit(0), *docs.columns).alias("__rh")
+    )
+    texts = whole.select(F.col("row.doc_id").alias("doc_id"), "__rh", F.col("row.text").alias("text"))
+    labelled = label_rows(stored(with_fingerprint(texts).drop("text")))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "__rh")
-    best = labelled.groupBy("component_id").agg(F.min(place).alias("m")).select("m.doc_id", "m.__rh")
-    kept = null_safe(rows.withColumn("doc_id", F.col("row.doc_id")), best, ["doc_id", "__rh"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "__rh"]).select("row.*")
+    best = labelled.groupBy("component_id").agg(F.min(place).alias("m"))
+    best = best.select(one_key(F.col("m.doc_id")).alias("__id"), F.col("m.__rh").alias("__rh"))
+    return whole.dropDuplicates(["__id", "__rh"]).join(best, ["__id", "__rh"], "left_semi").select("row.*")
 
 
 @query

@@ -677,3 +677,68 @@ def test_pipeline_stages(table, request, spark, sf_dir, tmp_path):
 def test_pipeline_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and max(Counter(r["doc_id"] for r in rows).values()) <= 2
+
+
+def test_stages_deal_whole_rows_at_most_once(spark, docs):
+    """A shuffle of whole texts is the largest part of the pipeline's disk."""
+    def shuffles(node):
+        mine = node.nodeName() == "Exchange" and "text:string" in node.schema().catalogString()
+        return mine + sum(shuffles(node.children().apply(i)) for i in range(node.children().size()))
+
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "64k")  # small tables stand for large ones
+    try:
+        found = [
+            shuffles(stage(docs)._jdf.queryExecution().executedPlan().initialPlan())
+            for stage in (quality.keep_quality, simhash.keep_one_of_each, mixing.mixed_documents)
+        ]
+    finally:
+        spark.conf.set(limit, before)
+    assert found == [0, 1, 1]
+
+
+def test_near_dedup_stores_no_texts(spark, docs, monkeypatch):
+    kept = []
+    monkeypatch.setattr(simhash, "stored", lambda df, *a: kept.append(df.schema.simpleString()) or df)
+    simhash.keep_one_of_each(docs)
+    assert kept and not any("text" in x for x in kept)
+
+
+@pytest.mark.parametrize("letters", ["abc d", "".join(map(chr, range(0x4E00, 0x4E00 + 600)))])
+def test_shingle_codes_of_few_lines_at_once(letters, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 100)
+    dice = np.random.RandomState(3)
+    lines = ["".join(letters[i] for i in dice.randint(0, len(letters), n)) for n in (1, 7, 8, 9, 60, 99, 101, 300)]
+    lines += [x[:-1] + "e" for x in lines] + ["a\\0b", "\\0" * 9]
+    codes, offsets = line_dedup.shingle_codes(lines)
+    sets = [set(codes[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+    assert [len(x) for x in sets] == np.diff(offsets).tolist() == [len(line_dedup.shingles(x)) for x in lines]
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        assert len(sets[i] & sets[j]) == len(line_dedup.shingles(lines[i]) & line_dedup.shingles(lines[j]))
+
+
+def test_shingle_codes_hold_few_bytes_a_character():
+    import tracemalloc
+
+    lines = [line(i) * 12 for i in range(2000)]
+    line_dedup.shingle_codes(lines[:9])
+    tracemalloc.start()
+    line_dedup.shingle_codes(lines)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * sum(map(len, lines))
+
+
+def test_groups_of_long_lines_are_cut(spark, monkeypatch):
+    shared = " ".join(line(i) for i in range(12))
+    lines = [shared + " " + " ".join(line(100 + i // 3 * 7 + k) for k in range(10)) + f" {i}" for i in range(30)]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+
+    def dropped():
+        got = line_dedup.line_report(table).select("doc_id", "n_dropped").collect()
+        return sorted(r["doc_id"] for r in got if r["n_dropped"])
+
+    whole = dropped()
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 3 * len(lines[0]))
+    assert dropped() == whole == [i for i in range(30) if i % 3]
