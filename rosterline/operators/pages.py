@@ -12,6 +12,9 @@ from rosterline.functions.urls import normalize_url, url_host, url_path
 from rosterline.operators.skew import exploded, first_by, running_before, spread_join
 from rosterline.session import checkpoint_root, cut_lineage
 
+#: Pages of a walk that are broadcast at most, about 200 bytes each.
+FEW_PAGES = 100_000
+
 
 def drop_captcha_pages(pages: DataFrame, head_chars: int = 5000) -> DataFrame:
     """Pages without a challenge marker in their first `head_chars` characters."""
@@ -72,6 +75,11 @@ def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int | None
     writes its new pages only, to a folder of its own beside the earlier ones.  The
     loop ends when no site gains a page.  With a limit a site keeps its first
     `limit` pages, which takes at most that many hops.
+
+    Spark takes a stored table for as large as its files are, and would broadcast
+    levels that are many times that in memory.  So rows are counted: more than
+    FEW_PAGES are sorted and merged, and links are laid out for the pages of the last
+    level only.  A page carries the visit number that comes next in its site.
     """
     spark = pages.sparkSession
     stored = pages.select(
@@ -79,45 +87,54 @@ def expand_link_frontier(pages: DataFrame, starts: DataFrame, limit: int | None
         contact_links(page_links(F.col("html"), F.col("page_url"))).alias("links"),
     )
     stored = cut_lineage(first_by(stored, [F.col("site_url"), F.col("url")], ["page_ord"]))
-    edges = stored.select("site_url", F.col("url").alias("from_url"), F.posexplode("links").alias("rank", "url"))
-    known = stored.select("site_url", "url", "page_ord")
+    links = stored.select("site_url", "url", "links")
+    known = _merged_if_many(stored.select("site_url", "url", "page_ord"), stored.count())
     root = f"{checkpoint_root(spark)}/frontier-{uuid.uuid4().hex}"
     schema = f"site_url string, url string, page_ord {dict(pages.dtypes)['page_ord']}, depth long, visit long"
 
-    def write(found: DataFrame, bases: DataFrame | None, depth: int) -> DataFrame:
+    def write(found: DataFrame, depth: int) -> DataFrame:
         """The new pages of a hop, numbered behind those of their site so far."""
-        placed = running_before(found, ["site_url"], ["parent", "rank"], F.lit(1), None, "place")
-        if bases is None:
-            placed = placed.withColumn("visit", F.col("place").cast("long"))
-        else:
-            placed = spread_join(placed, bases, ["site_url"], "inner", ["url"]).withColumn("visit", F.col("place") + F.col("base"))
+        placed = running_before(found, ["site_url"], ["parent", "rank"], F.lit(1), None, "place", "gained")
+        placed = placed.withColumn("visit", (F.col("base") + F.col("place")).cast("long"))
         if limit is not None:
             placed = placed.filter(F.col("visit") < limit)
-        rows = placed.select("site_url", "url", "page_ord", F.lit(depth).cast("long").alias("depth"), "visit")
+        rows = placed.select(
+            "site_url", "url", "page_ord", F.lit(depth).cast("long").alias("depth"), "visit",
+            (F.col("base") + F.col("gained")).cast("long").alias("next"),
+        )
         rows.write.parquet(f"{root}/hop={depth}")
-        return spark.read.schema(schema).parquet(f"{root}/hop={depth}")
+        return spark.read.schema(f"{schema}, next long").parquet(f"{root}/hop={depth}")
 
     first = starts.select("site_url", normalize_url(F.col("url")).alias("url")).distinct()
-    first = first.join(known, ["site_url", "url"]).withColumns({"parent": F.lit(0).cast("long"), "rank": F.col("page_ord")})
-    frontier = write(first, None, 0)
+    zero = F.lit(0).cast("long")
+    first = first.join(known, ["site_url", "url"]).withColumns({"parent": zero, "rank": F.col("page_ord"), "base": zero})
+    frontier, n_visited = write(first, 0), 0
     for depth in count(1) if limit is None else range(1, limit):
-        if frontier.isEmpty():
+        n = frontier.count()
+        if n == 0:
             break
-        visited = spark.read.schema(schema).parquet(root)
-        bases = frontier.groupBy("site_url").agg((F.max("visit") + 1).alias("base"))
+        n_visited += n
+        visited = _merged_if_many(spark.read.schema(schema).parquet(root).select("site_url", "url"), n_visited)
+        leading = frontier.select("site_url", "url", F.col("visit").alias("parent"), F.col("next").alias("base"))
+        leading = F.broadcast(leading) if n <= FEW_PAGES else leading.hint("merge")
         reached = (
-            frontier.select("site_url", F.col("url").alias("from_url"), F.col("visit").alias("parent"))
-            .join(edges, ["site_url", "from_url"])
+            leading.join(links, ["site_url", "url"])
+            .select("site_url", "parent", "base", F.posexplode("links").alias("rank", "url"))
             .groupBy("site_url", "url")
-            .agg(F.min(F.struct("parent", "rank")).alias("by"))
-            .join(visited.select("site_url", "url"), ["site_url", "url"], "left_anti")
+            .agg(F.min(F.struct("parent", "rank")).alias("by"), F.min("base").alias("base"))
+            .join(visited, ["site_url", "url"], "left_anti")
             .join(known, ["site_url", "url"])
-            .select("site_url", "url", "page_ord", "by.parent", "by.rank")
+            .select("site_url", "url", "page_ord", "by.parent", "by.rank", "base")
         )
-        frontier = write(reached, bases, depth)
+        frontier = write(reached, depth)
     return spark.read.schema(schema).parquet(root)
 
 
+def _merged_if_many(rows: DataFrame, n: int) -> DataFrame:
+    """A side of a join that is not broadcast if it has more than FEW_PAGES rows."""
+    return rows if n <= FEW_PAGES else rows.hint("merge")
+
+
 def robots_rules(content: Column, agents: tuple[str, ...] = ("*", "rosterline")) -> Column:
     """Disallow prefixes of a robots file that apply to these agents.
 

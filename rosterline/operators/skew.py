@@ -59,9 +59,10 @@ def spread_join(
 
 
 def running_before(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, block: Column | None, name: str
+    df: DataFrame, keys: list[str], order: list[str], value: Column, block: Column | None, name: str,
+    total: str | None = None,
 ) -> DataFrame:
-    """Sum of `value` over the earlier rows of the same key.
+    """Sum of `value` over the earlier rows of the same key; with `total`, the sum over all its rows under that name.
 
     A plain running window puts a whole key into one task.  Here a key is cut
     into blocks that follow the order: totals per block are summed ahead, then
@@ -81,6 +82,7 @@ def running_before(
     offsets = totals.select(
         *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of_block"),
         F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"),
+        *([] if total is None else [F.sum("_total").over(Window.partitionBy(*keys)).alias(total)]),
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     same = with_block["_block"] == offsets["_of_block"]

@@ -5,7 +5,7 @@ import io
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from rosterline.functions import similarity as S
 from rosterline.operators import matching as M, pages as PG, site_keys as SK, skew
@@ -178,6 +178,41 @@ def test_a_chain_of_pages_writes_each_page_once(spark):
     assert sum(spark.read.parquet(f.rsplit("/", 1)[0]).count() for f in {x.rsplit("/", 1)[0] + "/x" for x in out.inputFiles()}) == n
 
 
+def test_many_pages_of_a_walk_are_never_broadcast(spark, monkeypatch):
+    """Stored levels look small by their files; the walk goes by their rows: beyond FEW_PAGES nothing is broadcast."""
+    plans, number, save = [], PG.running_before, DataFrameWriter.parquet
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(PG, "FEW_PAGES", 0, raising=False)
+    monkeypatch.setattr(PG, "running_before", lambda found, *args: (plan(found), number(found, *args))[1])
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (plan(self._df), save(self, path))[1])
+    n = 18
+    rows = [(f"https://s{s}.ru", 100 * s + i, f"https://s{s}.ru/p{i}", "".join(f'<a href="/p{i + (1 << b)}">команда</a>' for b in range(4)))
+            for s in range(3) for i in range(n - 5 * s)]
+    pages = spark.createDataFrame(rows, "site_url string, page_ord long, page_url string, html string")
+    starts = spark.createDataFrame([(f"https://s{s}.ru", f"https://s{s}.ru/p0") for s in range(3)], "site_url string, url string")
+    got = sorted((r.site_url, r.page_ord, r.depth, r.visit) for r in PG.expand_link_frontier(pages, starts).collect())
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+    want = []
+    for s in range(3):
+        queue, seen = [(0, 0)], {}
+        for page, depth in queue:
+            if page < n - 5 * s and page not in seen:
+                seen[page] = (f"https://s{s}.ru", 100 * s + page, depth, len(seen))
+                # links in the order of their length, then their place
+                queue += sorted(((page + (1 << b), depth + 1) for b in range(4)), key=lambda x: len(str(x[0])))
+        want += seen.values()
+    assert got == sorted(want)
+
+
+def test_running_sums_give_the_sum_of_a_key(spark):
+    df = spark.range(500).selectExpr("id", "if(id % 50 = 0, null, id % 3) as k", "id % 11 as v")
+    for block in (None, F.floor(F.col("id") / 30)):
+        rows = skew.running_before(df, ["k"], ["id"], F.col("v"), block, "before", "whole").collect()
+        totals = {k: sum(r.v for r in rows if r.k == k) for k in {r.k for r in rows}}
+        assert len(rows) == 500 and all(r.whole == totals[r.k] for r in rows)
+
+
 def test_categories_are_written_by_size(spark, sf_dir, tmp_path):
     """Many tasks make no more files than categories have bytes; a rerun replaces them; a row bound splits."""
     contacts = D.contacts(spark, sf_dir).repartition(40)
