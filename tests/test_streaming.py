@@ -1,5 +1,7 @@
 """Streaming jobs: levels, crashes, late rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,52 @@ def test_repeats_within_and_after_the_delay(spark, tmp_path):
     got = rows(J.read_batches(spark, str(tmp_path / "out")).select("full_name", minute.alias("m"), "outcome"))
     # the watermark of the third batch is 40: 20 is late, and `a` of minute 0 is remembered until 60; that of the fourth is 41
     assert got == [("a", 0, "first"), ("b", 100, "first"), ("c", 20, "late")]
+
+
+CONTACT = "site_url string, full_name string, personal_email string, phone string, ts long"
+
+
+def test_contacts_share_calls_and_state_rows(spark, tmp_path):
+    """As many calls and state rows as there are groups, however many keys arrive."""
+    groups = getattr(J, "KEY_GROUPS", 1024)
+    batches = [[("s", f"n{b}-{i}", None, None, b) for i in range(2 * groups)] for b in range(2)]
+    contacts = arrive(spark, tmp_path, batches, CONTACT).withColumnRenamed("ts", "scan_date")
+    query = J.write_batches(J.stream_dedup_contacts(contacts, "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    kept = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(kept) <= groups
+    got = J.read_batches(spark, str(tmp_path / "out"))
+    assert got.count() == got.filter("outcome = 'first'").select("full_name").distinct().count() == 4 * groups
+
+
+def test_contacts_of_a_group_against_a_walk(spark, tmp_path, monkeypatch):
+    """Many keys in few groups, several Arrow batches in a group, late rows, repeats before and after the delay, a hot key."""
+    rng, name, hour = random.Random(5), "spark.sql.execution.arrow.maxRecordsPerBatch", 60
+    key = lambda: (rng.choice(["s", "t", None]), rng.choice(["hot"] * 9 + [f"n{i}" for i in range(12)] + [None, ""]), None, rng.choice([None, "", "7"]))
+    batches = [[(*key(), max(0, 70 * b + rng.randint(-90, 60))) for _ in range(60)] for b in range(6)]
+    monkeypatch.setattr(J, "KEY_GROUPS", 3, raising=False)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        contacts = arrive(spark, tmp_path, batches, CONTACT).withColumnRenamed("ts", "scan_date")
+        J.write_batches(J.stream_dedup_contacts(contacts, "1 hour"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    minute = ((F.unix_seconds("scan_date") - 1_704_067_200) / 60).cast("long")
+    same = lambda site, name, phone, *more: (site or "-", name or "", phone or "", *more)
+    got = sorted(same(*r) for r in J.read_batches(spark, str(tmp_path / "out")).select("site_url", "full_name", "phone", minute, "outcome").collect())
+
+    want, seen, watermark = [], {}, -10**9
+    for batch in batches:
+        seen = {k: first for k, first in seen.items() if first + hour >= watermark}
+        for site, full_name, _, phone, ts in sorted(batch, key=lambda r: r[4]):
+            k = same(site, full_name, phone)
+            if ts < watermark:
+                want.append((*k, ts, "late"))
+            elif k not in seen:
+                seen[k] = ts
+                want.append((*k, ts, "first"))
+        watermark = max(watermark, max(r[4] for r in batch) - hour)
+    assert got == sorted(want)
+    firsts = [r[:3] for r in want if r[4] == "first"]
+    assert len(set(firsts)) < len(firsts) and any(r[4] == "late" for r in want)
